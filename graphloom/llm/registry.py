@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, maxscore, mixing, ngram_quality, packing, quality_rules, secrets, simhash, url_filter
+from . import line_dedup, maxscore, mixing, ngram_quality, packing, quality_rules, secrets, simhash, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_exact_topk": maxscore.op6_exact_topk,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_entropy_mixing": mixing.op8_entropy_mixing,
+        "op9_suffix_dedup": substring_dedup.op9_suffix_dedup,
         "op10_url_filters": url_filter.op10_url_filters,
     }
 
