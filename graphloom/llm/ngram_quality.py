@@ -162,18 +162,17 @@ def _scored(shared):
         models = shared.value
         for b in batches:
             logs = [models.get(m, models.get(ALL)) for m in b["__model"].to_pylist()]
-            s = [None if t is None else score(x.as_py(), t) for x, t in zip(b["__text"], logs, strict=True)]
-            keep = [c for c in b.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(s, pa.float64())], names=[*keep, "__score"])
+            s = [None if t is None else score(x.as_py(), t) for x, t in zip(b["text"], logs, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__score"])
 
     return run
 
 
-def scored(docs: DataFrame, models, columns: DataFrame | None = None) -> DataFrame:
-    """Adds __model, __len (length class) and __score to docs; models: a broadcast of tables."""
-    text = F.col("text").cast("string")
-    rows = docs.withColumn("__model", model_key(F.col("lang").cast("string"))).withColumn("__len", F.least(F.floor(F.log2(F.greatest(F.length(text), F.lit(1)).cast("double")) / 2), F.lit(5)).cast("int")).withColumn("__text", text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+def scored(docs: DataFrame, models) -> DataFrame:
+    """Adds __model, __len (length class) and __score to docs, whose text is a string; models: a broadcast of tables."""
+    length = F.greatest(F.length("text"), F.lit(1)).cast("double")
+    rows = docs.withColumn("__model", model_key(F.col("lang").cast("string"))).withColumn("__len", F.least(F.floor(F.log2(length) / 2), F.lit(5)).cast("int"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_scored(models), schema + ", __score double")
 
 
@@ -226,5 +225,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    out = classify(docs, table(spark, sf_dir, "labels"))
+    out = classify(docs, table(spark, sf_dir, "labels")).drop("text")
     return out.select("doc_id", "lang", F.col("__score").alias("log2_perplexity"), F.col("__threshold").alias("threshold"), F.col("__kept").alias("kept"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, written
+from .common import checkpointed, table, text_hash, written
 
 THRESHOLD, SHINGLE, SEED = 4, 4, 42
 #: First bit and width of each part.  Beyond MANY distinct fingerprints two parts of 32 bits keep anchors small.
@@ -215,10 +215,22 @@ def near_duplicates(prints: DataFrame, threshold: int = THRESHOLD, parts: tuple
     found = components(links(classes, threshold, parts))
     roots = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
+    named = roots.join(least, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id (nulls last) stays."""
+    key = ["k0", "k1", "k2"]
+    id_ = F.col("doc_id").cast("long")
+    keys = [id_.isNull().alias("k0"), F.coalesce(id_, F.lit(0).cast("long")).alias("k1"), text_hash(F.col("text").cast("string")).alias("k2")]
+    rows = docs.select(*keys, id_.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = written(docs.sparkSession, rows.mapInArrow(_fingerprints, "k0 boolean, k1 long, k2 long, doc_id long, fp long"))
+    first = near_duplicates(prints, threshold).groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    held = docs.select(*keys, F.struct(*docs.columns).alias("row"))
+    return held.join(first, key).dropDuplicates(key).select("row.*")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(spark, fingerprints(table(spark, sf_dir, "documents")))
     return near_duplicates(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
