@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-V, ORDER, MAX_MODELS = 40, 4, 9
+V, ORDER, MAX_MODELS = 32, 4, 9
 QUANTILE, MARGIN, MIN_HELD, HELD_OUT = 0.95, 4.0, 30, 5
 ALL = "*"
 #: Trusted ids are broadcast up to so many (8 bytes each); beyond, they are joined by shuffle.
@@ -42,18 +42,19 @@ CHUNK = 4_000_000
 _classes: list[np.ndarray] = []
 
 
+#: Classes after the 26 lower-case letters.
+UPPER, DIGIT, BLANK, STOP, SIGN, OTHER = range(26, 32)
+
+
 def alphabet() -> np.ndarray:
-    """Class of every code point: letters a-z, then classes of other characters; other letters share three by code point."""
+    """Class of every code point: letters a-z each for itself; capitals, digits, blanks, stops, signs and the rest in classes."""
     if not _classes:
-        c = np.full(0x110000, 39, dtype=np.uint8)
-        for at in range(128, 0x30000):
-            if chr(at).isalpha():
-                c[at] = 36 + at % 3
-        c[:128] = 35
+        c = np.full(0x110000, OTHER, dtype=np.uint8)
+        c[:128] = SIGN
         c[ord("a") : ord("z") + 1] = np.arange(26)
-        c[ord("A") : ord("Z") + 1] = 26
-        c[ord("0") : ord("9") + 1] = 27
-        for signs, k in ((" \t", 28), ("\n\r", 29), (".", 30), (",", 31), ("?:;'\"-()", 32), ("!", 33), ("#*$%&|<>", 34)):
+        c[ord("A") : ord("Z") + 1] = UPPER
+        c[ord("0") : ord("9") + 1] = DIGIT
+        for signs, k in ((" \t\n\r", BLANK), (".,?:;'\"-()", STOP)):
             for s in signs:
                 c[ord(s)] = k
         _classes.append(c)
@@ -61,9 +62,9 @@ def alphabet() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """The n-gram ending at each character, as a number in base V; texts start after line ends."""
+    """The n-gram ending at each character, as a number in base V; texts start after blanks."""
     s = alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")].astype(np.int64)
-    s = np.concatenate([np.full(ORDER - 1, 29, dtype=np.int64), s])
+    s = np.concatenate([np.full(ORDER - 1, BLANK, dtype=np.int64), s])
     code = s[ORDER - 1 :].copy()
     for k in range(1, ORDER):
         code += s[ORDER - 1 - k : len(s) - k] * V**k
@@ -129,23 +130,24 @@ def kneser_ney(c4: DataFrame) -> dict[str, DataFrame]:
     return {"p": p.select("model", "k", "code", ((F.col("n") - own) / F.col("all")).alias("p")), "g": contexts.select("model", "k", "context", gamma.alias("g"))}
 
 
-def tables_of(shares: dict[str, DataFrame]) -> dict[str, np.ndarray]:
-    """log2 probability of every n-gram, by model: V**ORDER numbers each."""
-    p, g = shares["p"].toPandas(), shares["g"].toPandas()  # bounded by the alphabet and MAX_MODELS
-    p_by, g_by = dict(list(p.groupby(["model", "k"]))), dict(list(g.groupby(["model", "k"])))
+def tables_of(shares: dict[str, DataFrame], names: list[str]) -> dict[str, np.ndarray]:
+    """log2 probability of every n-gram, by model: V**ORDER numbers each.  What is collected is bounded by the alphabet and MAX_MODELS."""
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("model")).cast("int").alias("m")
+    p = shares["p"].select(number, "k", F.col("code").cast("int"), "p").toArrow()
+    g = shares["g"].select(number, "k", F.col("context").cast("int"), "g").toArrow()
+    p, g = ([c.to_numpy() for c in t.columns] for t in (p, g))
     out = {}
-    for m in sorted(set(p["model"])):
+    for i, name in enumerate(names, 1):
         full = np.full(1, 1 / V)
         for k in range(1, ORDER + 1):
             weight = np.ones(V ** (k - 1))
-            rows = g_by[m, k]
-            weight[rows["context"].to_numpy()] = rows["g"].to_numpy()
-            lower = full if k > 1 else np.full(V, 1 / V)
+            at = (g[0] == i) & (g[1] == k)
+            weight[g[2][at]] = g[3][at]
             # code = context * V + last; the lower order forgets the first character of the context.
-            full = np.repeat(weight, V) * (np.tile(lower, V) if k > 1 else lower)
-            rows = p_by[m, k]
-            full[rows["code"].to_numpy()] += rows["p"].to_numpy()
-        out[m] = np.log2(full).astype(np.float32)
+            full = np.repeat(weight, V) * (np.tile(full, V) if k > 1 else full[0])
+            at = (p[0] == i) & (p[1] == k)
+            full[p[2][at]] += p[3][at]
+        out[name] = np.log2(full).astype(np.float32)
     return out
 
 
@@ -204,7 +206,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     c4 = written(spark, counts(trusted.filter("fold > 0")))
     most = [r["model"] for r in c4.groupBy("model").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "model").limit(MAX_MODELS - 1).collect()]
     every = c4.filter(F.col("model").isin(most)).unionByName(c4.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("model"), "code", "n"))
-    models = spark.sparkContext.broadcast(tables_of(kneser_ney(every)))
+    models = spark.sparkContext.broadcast(tables_of(kneser_ney(every), [*most, ALL]))
     held = scored(trusted.filter("fold = 0"), models)
     limits = {(r["__model"], r["__len"]): (r["held"], r["threshold"]) for r in thresholds(held).filter(F.col("__model").isin([*most, ALL])).collect()}
     cases = F.lit(None).cast("double")
