@@ -12,18 +12,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _parsed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """file, line, row (struct of the schema) and bad (whether the line is no object of the schema) for lines that are not blank."""
+    wide = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    row = F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.withColumn("row", row).withColumn("bad", F.col("row._corrupt_record").isNotNull())
+
+
 def malformed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """file and line of what is not an object of the schema, instead of an error."""
-    wide = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
-    return rows.filter(F.col("_corrupt_record").isNotNull()).select("file", F.col("_corrupt_record").alias("line"))
+    return _parsed(spark, path, schema).filter("bad").select("file", "line")
 
 
 def read_growing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of files that are still written to; lines that do not parse yet are left for later."""
-    wide = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path)
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return _parsed(spark, path, schema).filter("not bad").select(*(F.col(f"row.{f.name}") for f in schema.fields))
 
 
 def write_once(df: DataFrame, path: str) -> bool:
