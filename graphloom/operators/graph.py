@@ -67,21 +67,26 @@ def added_types(edge: DataFrame, node: DataFrame) -> DataFrame:
 def frontier_distance(edge: DataFrame, sources: DataFrame, limit: int = 40) -> DataFrame:
     """stmt, cid, dist: undirected breadth-first distance from each statement's sources.
 
-    One join and one aggregate a level; stops when a level adds nothing.  Levels are
-    checkpointed, so plans stay short and lost executors cost one level.
+    One join and one distinct a level; stops when a level adds nothing.  Neighbours of a
+    level lie in it, in the one before or in the next, so only two levels are looked up.
+    Levels are checkpointed: plans stay short and lost executors cost one level.
     """
     from ..sources.shared import checkpointed
 
     spark = edge.sparkSession
     adj = checkpointed(spark, adjacency(edge).filter("cid <> nbr"))
-    reached = checkpointed(spark, sources.select("stmt", "cid").distinct().withColumn("dist", F.lit(0)))
-    for level in range(1, limit + 1):
-        edge_of_known = reached.filter(F.col("dist") == level - 1)
-        step = edge_of_known.join(adj, ["stmt", "cid"]).select("stmt", F.col("nbr").alias("cid")).distinct().join(reached, ["stmt", "cid"], "left_anti")
-        step = checkpointed(spark, step.withColumn("dist", F.lit(level)))
+    levels = [checkpointed(spark, sources.select("stmt", "cid").distinct())]
+    while len(levels) <= limit:
+        step = levels[-1].join(adj, ["stmt", "cid"]).select("stmt", F.col("nbr").alias("cid")).distinct()
+        for known in levels[-2:]:
+            step = step.join(known, ["stmt", "cid"], "left_anti")
+        step = checkpointed(spark, step)
         if step.isEmpty():
             break
-        reached = checkpointed(spark, reached.unionByName(step))
+        levels.append(step)
+    reached = levels[0].withColumn("dist", F.lit(0))
+    for d, level in enumerate(levels[1:], 1):
+        reached = reached.unionByName(level.withColumn("dist", F.lit(d)))
     return reached
 
 
