@@ -26,10 +26,14 @@ MIN_DOCS, MIN_TOKENS, LEAD, SIMILAR, FIXED = 5, 3, 3, 0.8, 0.6
 VARIABLE = "[0-9@]|://"
 
 
+#: A whole token that holds a variable field; tried at token starts only, so long tokens cost their length.
+_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?(?:[0-9@]|://)[^\x20\x09-\x0D]*"
+
+
 def masked(line: Column) -> Column:
-    """Tokens of a line, with <*> for variable fields."""
-    tokens = F.filter(F.split(line, SPACE), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike(VARIABLE), F.lit("<*>")).otherwise(t))
+    """The tokens of a line, one space apart, with <*> for variable fields."""
+    fields = F.when(line.rlike(VARIABLE), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
+    return F.trim(F.regexp_replace(fields, SPACE, " "))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -43,11 +47,14 @@ KEY = ["k0", "k1", "k2"]
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    rows = _keyed(docs.select("doc_id", text.alias("text"))).select(*KEY, F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    rows = rows.withColumn("tokens", masked(F.col("line")))
-    n, fixed = F.size("tokens"), F.size(F.filter("tokens", lambda t: t != "<*>"))
-    leaf = F.xxhash64(n, F.slice("tokens", 1, LEAD))
-    return rows.filter((fixed >= MIN_TOKENS) & (fixed >= FIXED * n)).select(*KEY, "no", leaf.alias("leaf"), F.array_join("tokens", " ").alias("masked"))
+    rows = _keyed(docs.select("doc_id", text.alias("text")))
+    # Masked inside the generator: filters on what it gives can't make Spark mask a line again.
+    rows = rows.select(*KEY, F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("no", "masked"))
+    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
+    fields = F.when(F.contains("masked", F.lit("<*>")), F.size(F.filter(F.split("masked", " "), lambda t: t == "<*>"))).otherwise(0)
+    leaf = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
+    rows = rows.withColumn("n", n).withColumn("fixed", F.col("n") - fields).filter((F.col("fixed") >= MIN_TOKENS) & (F.col("fixed") >= FIXED * F.col("n")))
+    return rows.select(*KEY, "no", leaf.alias("leaf"), "masked")
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -58,14 +65,15 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaves = written(spark, lines.select("leaf", *KEY).distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf"))
     some = written(spark, lines.join(leaves, "leaf"))
     per_line = some.select("leaf", "masked", *KEY).distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs"))
-    best = per_line.groupBy("leaf").agg(F.max(F.struct("docs", "masked")).alias("best")).select("leaf", F.col("best.masked").alias("template"))
+    best = written(spark, per_line.groupBy("leaf").agg(F.max(F.struct("docs", "masked")).alias("best")).select("leaf", F.col("best.masked").alias("template")))
     pairs = F.zip_with(F.split("masked", " "), F.split("template", " "), lambda a, b: (a == b).cast("int"))
     same = F.aggregate(pairs, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
     near = same >= SIMILAR * F.size(pairs)
     named = some.join(best, "leaf").withColumn("own", F.when(near, F.lit(0).cast("long")).otherwise(F.xxhash64("masked"))).select("leaf", "own", "no", *KEY)
     counted = named.select("leaf", "own", *KEY).distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"))
     firsts = named.groupBy("leaf", "own").agg(F.min(F.struct(*KEY, "no")).alias("first"))
-    kept = counted.filter(F.col("docs") >= min_docs).join(firsts, ["leaf", "own"])
+    # Small tables, written so that their size is known: the joins below are broadcast if it allows, else split where skewed.
+    kept = written(spark, counted.filter(F.col("docs") >= min_docs).join(firsts, ["leaf", "own"]))
     dropped = named.join(kept, ["leaf", "own"]).filter(F.struct(*KEY, "no") != F.col("first"))
     return dropped.groupBy(*KEY).agg(F.collect_set("no").alias("drop"))
 
