@@ -69,12 +69,14 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     pairs = F.zip_with(F.split("masked", " "), F.split("template", " "), lambda a, b: (a == b).cast("int"))
     same = F.aggregate(pairs, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
     near = same >= SIMILAR * F.size(pairs)
-    named = some.join(best, "leaf").withColumn("own", F.when(near, F.lit(0).cast("long")).otherwise(F.xxhash64("masked"))).select("leaf", "own", "no", *KEY)
-    counted = named.select("leaf", "own", *KEY).distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"))
-    firsts = named.groupBy("leaf", "own").agg(F.min(F.struct(*KEY, "no")).alias("first"))
+    # A name of its own for the template: grouping by it asks for a new shuffle, so the join by leaf may be split where a leaf is hot.
+    own = F.when(near, F.lit(0).cast("long")).otherwise(F.xxhash64("masked"))
+    named = some.join(best, "leaf").select(F.xxhash64("leaf", own).alias("name"), "no", *KEY)
+    counted = named.select("name", *KEY).distinct().groupBy("name").agg(F.count("*").alias("docs"))
+    firsts = named.groupBy("name").agg(F.min(F.struct(*KEY, "no")).alias("first"))
     # Small tables, written so that their size is known: the joins below are broadcast if it allows, else split where skewed.
-    kept = written(spark, counted.filter(F.col("docs") >= min_docs).join(firsts, ["leaf", "own"]))
-    dropped = named.join(kept, ["leaf", "own"]).filter(F.struct(*KEY, "no") != F.col("first"))
+    kept = written(spark, counted.filter(F.col("docs") >= min_docs).join(firsts, "name"))
+    dropped = named.join(kept, "name").filter(F.struct(*KEY, "no") != F.col("first"))
     return dropped.groupBy(*KEY).agg(F.collect_set("no").alias("drop"))
 
 
