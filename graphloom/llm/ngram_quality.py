@@ -1,24 +1,28 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of character n-grams of order 4 over an alphabet of V classes, one model
-per language and one of all languages together.  Counts of all trusted text, their
-continuation counts, the discounts and the interpolation weights come from grouped
-counts joined by (model, context), sharded by hash.  What the joins give is bounded by
-the alphabet, not by the corpus: V**4 probabilities a model, and MAX_MODELS models (the
-languages with most trusted documents, and the one of all).  So the joined counts are
-sent to the tasks, which score each document where it is read.
-
-A document's score is its mean negative log2 probability a character (log2 of its
-perplexity).  Thresholds come from quantiles of trusted documents held out from
-training, by language and length class: QUANTILE of their scores and MARGIN times its
-distance from the median.  Rejected are documents above it.
+The model is of n-grams of ORDER characters, as they are (no classes), one model per
+language and one of all languages together.  Counts of all trusted text, continuation
+counts, discounts and interpolation weights come from grouped counts, and every n-gram
+of the documents gets its probability by joins with them, sharded by hash of model and
+n-gram.  Nothing of this is sent to the driver or broadcast by hand, and nothing bounds
+it: counts grow with the text.
+
+So that the joins do not move a row per character, documents are taken in blocks of
+BLOCK bytes as they are read: a block asks once for each n-gram it has.  Its answers and
+its texts (compressed) then meet in one task, which gives each document its score, its
+mean negative log2 probability a character (log2 of its perplexity).
+
+Thresholds come from quantiles of trusted documents held out from training, by language
+and length class: QUANTILE of their scores and MARGIN times its distance from the
+median.  Rejected are documents above it.
 
 Cases: null and empty texts have no score and are kept.  A null language is one like any
 other; languages without a model of their own, or with fewer than MIN_HELD held-out
 documents in a length class, are judged by the model or thresholds of all.  Labels that
 are null are passed over; of several labels of one document the lowest counts.  Without
-trusted text everything is kept.  Repeated rows are judged each; other columns pass
-through kept_documents unchanged; an empty table gives an empty result.
+trusted text everything is kept.  U+0000 is read as U+0001.  Repeated rows are judged
+each; other columns pass through kept_documents unchanged; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,96 +31,132 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, text_hash, written
 
-V, ORDER, MAX_MODELS = 32, 4, 9
+ORDER = 4
 QUANTILE, MARGIN, MIN_HELD, HELD_OUT = 0.95, 4.0, 30, 5
 ALL = "*"
-#: Trusted ids are broadcast up to so many (8 bytes each); beyond, they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-CHUNK = 4_000_000
-
-_classes: list[np.ndarray] = []
-
-
-#: Classes after the 26 lower-case letters.
-UPPER, DIGIT, BLANK, STOP, SIGN, OTHER = range(26, 32)
-
-
-def alphabet() -> np.ndarray:
-    """Class of every code point: letters a-z each for itself; capitals, digits, blanks, stops, signs and the rest in classes."""
-    if not _classes:
-        c = np.full(0x110000, OTHER, dtype=np.uint8)
-        c[:128] = SIGN
-        c[ord("a") : ord("z") + 1] = np.arange(26)
-        c[ord("A") : ord("Z") + 1] = UPPER
-        c[ord("0") : ord("9") + 1] = DIGIT
-        for signs, k in ((" \t\n\r", BLANK), (".,?:;'\"-()", STOP)):
-            for s in signs:
-                c[ord(s)] = k
-        _classes.append(c)
-    return _classes[0]
+#: What stands before a text.
+START = "\n" * (ORDER - 1)
+#: Bytes of text whose n-grams are asked for together; a longer text is a block of its own.
+BLOCK = 8 << 20
+#: Alphabets up to this size let four characters be one number of 64 bits.
+NUMBERED = 65535
+
+
+# --- n-grams ---------------------------------------------------------------------------
+
+
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, each after START; which n-grams end inside a text; and how many each text has."""
+    c = np.frombuffer((START + START.join(texts)).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+    c[c == 0] = 1
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    inside = np.ones(len(c) - ORDER + 1, dtype=bool)
+    for at in (np.cumsum(sizes + ORDER - 1) - (ORDER - 1))[:-1]:
+        inside[at : at + ORDER - 1] = False
+    return c, inside, sizes
+
+
+def codes(windows: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Of windows (n, ORDER) of code points: one number each, or, for large alphabets, the strings themselves."""
+    if len(alphabet) > NUMBERED:
+        return np.ascontiguousarray(windows, dtype="<u4").view(f"<U{ORDER}")[:, 0]
+    number = np.zeros(0x110000, dtype=np.uint64)  # 0: not in the alphabet
+    number[alphabet] = np.arange(1, len(alphabet) + 1, dtype=np.uint64)
+    out = number[windows[:, 0]]
+    for k in range(1, ORDER):
+        out *= np.uint64(len(alphabet) + 1)
+        out += number[windows[:, k]]
+    return out
 
 
-def grams(text: str) -> np.ndarray:
-    """The n-gram ending at each character, as a number in base V; texts start after blanks."""
-    s = alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")].astype(np.int64)
-    s = np.concatenate([np.full(ORDER - 1, BLANK, dtype=np.int64), s])
-    code = s[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        code += s[ORDER - 1 - k : len(s) - k] * V**k
-    return code
+def sliding(c: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(c, ORDER)
 
 
-# --- training --------------------------------------------------------------------------
+def tally(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of non-empty texts, and how often each occurs."""
+    c, inside, _ = characters(texts)
+    alphabet = np.flatnonzero(np.bincount(c)).astype("<u4")
+    found, n = np.unique(codes(sliding(c), alphabet)[inside], return_counts=True)
+    if found.dtype.kind != "U":
+        base = np.uint64(len(alphabet) + 1)
+        digits = [found // base ** np.uint64(ORDER - 1 - k) % base for k in range(ORDER)]
+        found = np.stack([alphabet[d.astype(np.int64) - 1] for d in digits], axis=1).view(f"<U{ORDER}")[:, 0]
+    return found.tolist(), n
 
 
 def model_key(lang: Column | str = "lang") -> Column:
     return F.concat(F.lit("="), F.coalesce(F.col(lang) if isinstance(lang, str) else lang, F.lit("\0")))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[np.ndarray]] = {}
-    size: dict[str, int] = {}
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a task in blocks of BLOCK bytes of text, with the number of each."""
+    first, seen = TaskContext.get().partitionId() << 32, 0
+    at, held = 0, []
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        number = (seen + np.cumsum(size) - size) // BLOCK
+        seen += int(size.sum())
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                if held and number[lo] != at:
+                    yield first | at, pa.Table.from_batches(held)
+                    held = []
+                at = int(number[lo])
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield first | at, pa.Table.from_batches(held)
+
+
+def by_model(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """model, row numbers and texts of the non-empty texts of a block."""
+    full = pc.fill_null(pc.greater(pc.binary_length(rows["text"]), 0), False).to_pylist()
+    at: dict[str, list[int]] = {}
+    for i, (m, some) in enumerate(zip(rows["model"].to_pylist(), full, strict=True)):
+        if some:
+            at.setdefault(m, []).append(i)
+    for m, own in at.items():
+        yield m, np.array(own), rows["text"].take(pa.array(own)).to_pylist()
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, rows in blocks(batches):
+        for m, _, texts in by_model(rows):
+            grams, n = tally(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(n), pa.int64()), pa.array([m] * len(n)), pa.array(grams, pa.string()), pa.array(n.astype(np.int64))], names=["block", "model", "gram", "n"])
+
+
+def tallied(rows: DataFrame) -> DataFrame:
+    """block, model, gram, n: the distinct n-grams of every block of rows (model, text)."""
+    return rows.mapInArrow(_tally, "block long, model string, gram string, n long")
 
-    def flush(m: str) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(held.pop(m)), return_counts=True)
-        size.pop(m)
-        return pa.RecordBatch.from_arrays([pa.array([m] * len(code)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["model", "code", "n"])
 
-    for b in batches:
-        for m, text in zip(b["model"].to_pylist(), b["text"], strict=True):
-            for at in range(0, len(g := grams(text.as_py())), CHUNK):
-                held.setdefault(m, []).append(g[at : at + CHUNK].astype(np.int32))
-                size[m] = size.get(m, 0) + len(held[m][-1])
-                if size[m] >= CHUNK:
-                    yield flush(m)
-    for m in list(held):
-        yield flush(m)
+# --- training --------------------------------------------------------------------------
 
 
 def counts(trusted: DataFrame) -> DataFrame:
-    """model, code, n over all trusted text, with the model of all languages."""
-    rows = trusted.select(model_key().alias("model"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
-    own = rows.mapInArrow(_count, "model string, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
-    return own
+    """model, gram, n over all trusted text, with the model of all languages."""
+    own = tallied(trusted).groupBy("model", "gram").agg(F.sum("n").alias("n"))
+    return own.unionByName(own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("model"), "gram", "n"))
 
 
-def kneser_ney(c4: DataFrame) -> dict[str, DataFrame]:
-    """p: (model, k, code, p) with the discounted share of each seen k-gram; g: (model, k, context, g) with the weight of the next lower order."""
-    level = c4.select("model", F.lit(ORDER).alias("k"), "code", "n")
-    levels = [level]
+def kneser_ney(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """p: (model, gram, p), the discounted share of each seen gram of 1 to ORDER characters; g: (model, context, g), the weight of the next lower order."""
+    level = counted.select("model", F.lit(ORDER).alias("k"), "gram", "n")
+    every = level
     for k in range(ORDER - 1, 0, -1):
         # Lower orders count the distinct characters before a gram.
-        level = level.select("model", (F.col("code") % V**k).alias("code")).groupBy("model", "code").agg(F.count("*").alias("n")).select("model", F.lit(k).alias("k"), "code", "n")
-        levels.append(level)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    every = every.withColumn("context", F.floor(F.col("code") / V).cast("long"))
+        level = level.groupBy("model", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")).select("model", F.lit(k).alias("k"), "gram", "n")
+        every = every.unionByName(level)
+    every = every.withColumn("context", F.expr("substring(gram, 1, k - 1)"))
     times = [F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)]
     d = every.groupBy("model", "k").agg(*times)
     y = F.coalesce(F.col("t1") / F.nullif(F.col("t1") + 2 * F.col("t2"), F.lit(0.0)), F.lit(0.5))
@@ -127,55 +167,90 @@ def kneser_ney(c4: DataFrame) -> dict[str, DataFrame]:
     gamma = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("all")
     own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     p = every.join(contexts.select("model", "k", "context", "all", "d1", "d2", "d3"), ["model", "k", "context"])
-    return {"p": p.select("model", "k", "code", ((F.col("n") - own) / F.col("all")).alias("p")), "g": contexts.select("model", "k", "context", gamma.alias("g"))}
-
-
-def tables_of(shares: dict[str, DataFrame], names: list[str]) -> dict[str, np.ndarray]:
-    """log2 probability of every n-gram, by model: V**ORDER numbers each.  What is collected is bounded by the alphabet and MAX_MODELS."""
-    number = F.array_position(F.array(*map(F.lit, names)), F.col("model")).cast("int").alias("m")
-    p = shares["p"].select(number, "k", F.col("code").cast("int"), "p").toArrow()
-    g = shares["g"].select(number, "k", F.col("context").cast("int"), "g").toArrow()
-    p, g = ([c.to_numpy() for c in t.columns] for t in (p, g))
-    out = {}
-    for i, name in enumerate(names, 1):
-        full = np.full(1, 1 / V)
-        for k in range(1, ORDER + 1):
-            weight = np.ones(V ** (k - 1))
-            at = (g[0] == i) & (g[1] == k)
-            weight[g[2][at]] = g[3][at]
-            # code = context * V + last; the lower order forgets the first character of the context.
-            full = np.repeat(weight, V) * (np.tile(full, V) if k > 1 else full[0])
-            at = (p[0] == i) & (p[1] == k)
-            full[p[2][at]] += p[3][at]
-        out[name] = np.log2(full).astype(np.float32)
-    return out
+    return p.select("model", "gram", ((F.col("n") - own) / F.col("all")).alias("p")), contexts.select("model", "context", gamma.alias("g"))
 
 
 # --- scoring ---------------------------------------------------------------------------
 
 
-def score(text: str | None, logs: np.ndarray) -> float | None:
-    """Mean negative log2 probability a character."""
-    return None if not text else float(-logs[grams(text)].mean(dtype=np.float64))
-
-
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for b in batches:
-            logs = [models.get(m, models.get(ALL)) for m in b["__model"].to_pylist()]
-            s = [None if t is None else score(x.as_py(), t) for x, t in zip(b["text"], logs, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__score"])
-
-    return run
-
+def log_probabilities(asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """asked (model, gram) with log2p under the model, or that of all languages where there is none.
 
-def scored(docs: DataFrame, models) -> DataFrame:
-    """Adds __model, __len (length class) and __score to docs, whose text is a string; models: a broadcast of tables."""
-    length = F.greatest(F.length("text"), F.lit(1)).cast("double")
-    rows = docs.withColumn("__model", model_key(F.col("lang").cast("string"))).withColumn("__len", F.least(F.floor(F.log2(length) / 2), F.lit(5)).cast("int"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_scored(models), schema + ", __score double")
+    Characters never seen in trusted text share one place in the uniform distribution
+    that ends the interpolation.  Without trusted text everything has log2p 0.
+    """
+    spark = asked.sparkSession
+    p, g = (written(spark, t) for t in kneser_ney(counted))
+    seen = p.filter((F.col("model") == ALL) & (F.length("gram") == 1)).count()
+    if not seen:
+        return asked.withColumn("log2p", F.lit(0.0))
+    models = g.filter("context = ''").select("model", (F.col("g") / (seen + 1)).alias("base"))
+    of_all = models.filter(F.col("model") == ALL).first()["base"]
+    rows = asked.join(models.withColumn("use", F.col("model")), "model", "left")
+    rows = rows.select("model", "gram", F.coalesce("use", F.lit(ALL)).alias("use"), F.coalesce("base", F.lit(of_all)).alias("base"), F.explode(F.array(*map(F.lit, range(1, ORDER + 1)))).alias("k"))
+    # One row per order; the empty context's weight is in base, so its rows look for what is no context.
+    rows = rows.withColumn("part", F.expr("right(gram, k)")).withColumn("before", F.when(F.col("k") == 1, F.col("gram")).otherwise(F.expr("left(part, k - 1)")))
+    rows = rows.join(p.withColumnsRenamed({"model": "use", "gram": "part"}), ["use", "part"], "left")
+    rows = rows.join(g.withColumnsRenamed({"model": "use", "context": "before"}), ["use", "before"], "left")
+    at = lambda c, k, other: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(other))
+    each = rows.groupBy("model", "gram").agg(F.max("base").alias("p0"), *(at("p", k, 0.0).alias(f"p{k}") for k in range(1, ORDER + 1)), *(at("g", k, 1.0).alias(f"g{k}") for k in range(2, ORDER + 1)))
+    total = F.col("p0") + F.col("p1")
+    for k in range(2, ORDER + 1):
+        total = F.col(f"p{k}") + F.col(f"g{k}") * total
+    return each.select("model", "gram", F.log2(total).alias("log2p"))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, rows in blocks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
+
+
+def mean_bits(texts: list[str], grams: list[str], log2p: np.ndarray) -> np.ndarray:
+    """The score of each of the non-empty texts, by the log2 probabilities of their n-grams."""
+    known = np.array(grams, dtype=f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
+    alphabet = np.unique(known)
+    c, inside, sizes = characters(texts)
+    keys, asked = codes(known, alphabet), codes(sliding(c), alphabet)[inside]
+    order = np.argsort(keys)
+    at = order[np.minimum(np.searchsorted(keys, asked, sorter=order), len(keys) - 1)]
+    if not np.array_equal(keys[at], asked):
+        raise RuntimeError("blocks differ between two reads of the documents: pass a table whose rows keep their order")
+    return np.round(-np.add.reduceat(log2p[at], np.cumsum(sizes) - sizes) / sizes, 9)
+
+
+SCORED = "doc_id long, lang string, text_hash long, n_chars long, model string, score double"
+
+
+def _score(packed: pa.Table, known: pa.Table) -> pa.Table:
+    out = []
+    for blob in packed["packed"]:
+        rows = pa.ipc.open_stream(blob.as_buffer()).read_all()
+        score = np.full(rows.num_rows, np.nan)
+        for m, at, texts in by_model(rows):
+            mine = known.filter(pc.equal(known["model"], m))
+            if not mine.num_rows:
+                raise RuntimeError("blocks differ between two reads of the documents: pass a table whose rows keep their order")
+            score[at] = mean_bits(texts, mine["gram"].to_pylist(), mine["log2p"].to_numpy())
+        out.append(pa.table([rows["doc_id"], rows["lang"], rows["text_hash"], rows["n_chars"], rows["model"], pa.array(score, from_pandas=True)], names=["doc_id", "lang", "text_hash", "n_chars", "model", "score"]))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())], names=["doc_id", "lang", "text_hash", "n_chars", "model", "score"])
+
+
+def scored(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """A written table of one row per document: doc_id, lang, text_hash, n_chars, model, score.
+
+    docs is read twice, and its rows must come in the same order each time: a table.
+    """
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_hash(text).alias("text_hash"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), model_key(F.col("lang").cast("string")).alias("model"), text.alias("text"))
+    asked = written(spark, tallied(rows.select("model", "text")).drop("n"))
+    logs = written(spark, log_probabilities(asked.select("model", "gram").distinct(), counted))
+    known = asked.join(logs, ["model", "gram"])
+    packed = rows.mapInArrow(_pack, "block long, packed binary")
+    return written(spark, packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score, SCORED))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -185,47 +260,50 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return rows.agg(F.min(ok).alias("ok")).filter("ok").select("__id")
 
 
+def held_out(id_: str) -> Column:
+    return F.pmod(F.xxhash64(id_, F.lit(1)), F.lit(HELD_OUT)) == 0
+
+
 def thresholds(held: DataFrame) -> DataFrame:
-    """model, len -> threshold, from held-out trusted scores; model ALL and len -1 stand for all.
+    """model, len -> held, threshold, from held-out trusted scores; model ALL and len -1 stand for all.
 
     Scores are rounded to thousandths, so exact quantiles need no more than some
     thousand distinct values a group.
     """
-    rows = held.filter("__score is not null").select("__model", "__len", F.round("__score", 3).alias("x"))
-    each = rows.select(F.explode(F.array(F.struct("__model", "__len"), F.struct(F.lit(ALL).alias("__model"), "__len"), F.struct("__model", F.lit(-1).alias("__len")), F.struct(F.lit(ALL).alias("__model"), F.lit(-1).alias("__len")))).alias("g"), "x")
-    q = each.groupBy("g.__model", "g.__len").agg(F.count("*").alias("held"), F.percentile("x", F.array(F.lit(0.5), F.lit(QUANTILE))).alias("q"))
-    return q.select("__model", "__len", "held", (F.col("q")[1] + MARGIN * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.02))).alias("threshold"))
+    rows = held.filter("score is not null").select("model", "len", F.round("score", 3).alias("x"))
+    each = rows.select(F.explode(F.array(F.struct("model", "len"), F.struct(F.lit(ALL).alias("model"), "len"), F.struct("model", F.lit(-1).alias("len")), F.struct(F.lit(ALL).alias("model"), F.lit(-1).alias("len")))).alias("g"), "x")
+    q = each.groupBy("g.model", "g.len").agg(F.count("*").alias("held"), F.percentile("x", F.array(F.lit(0.5), F.lit(QUANTILE))).alias("q"))
+    return q.select("model", "len", "held", (F.col("q")[1] + MARGIN * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.02))).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with __score, __threshold and __kept."""
+    """doc_id, lang, text_hash, score, threshold, kept: one row per document."""
     spark = docs.sparkSession
-    ids = trusted_ids(labels)
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    trusted = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(ids, "__id").withColumn("fold", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(HELD_OUT)))
-    c4 = written(spark, counts(trusted.filter("fold > 0")))
-    most = [r["model"] for r in c4.groupBy("model").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "model").limit(MAX_MODELS - 1).collect()]
-    every = c4.filter(F.col("model").isin(most)).unionByName(c4.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("model"), "code", "n"))
-    models = spark.sparkContext.broadcast(tables_of(kneser_ney(every), [*most, ALL]))
-    held = scored(trusted.filter("fold = 0"), models)
-    limits = {(r["__model"], r["__len"]): (r["held"], r["threshold"]) for r in thresholds(held).filter(F.col("__model").isin([*most, ALL])).collect()}
-    cases = F.lit(None).cast("double")
-    for m in [*most, ALL]:
-        for n in range(6):
-            usable = [limits[k][1] for k in ((m, n), (ALL, n), (m, -1), (ALL, -1)) if k in limits and (limits[k][0] >= MIN_HELD or k == (ALL, -1))]
-            if usable:
-                here = (F.col("__len") == n) & ((F.col("__model") == m) if m != ALL else ~F.col("__model").isin(most))
-                cases = F.when(here, F.lit(usable[0])).otherwise(cases)
-    out = scored(docs, models).withColumn("__threshold", cases)
-    return out.withColumn("__kept", F.coalesce(F.col("__score") <= F.col("__threshold"), F.lit(True)))
+    ids = written(spark, trusted_ids(labels))
+    train = docs.select(F.col("doc_id").cast("long").alias("__id"), model_key(F.col("lang").cast("string")).alias("model"), F.col("text").cast("string").alias("text")).join(ids.filter(~held_out("__id")), "__id")
+    counted = written(spark, counts(train.select("model", "text")))
+    rows = scored(docs, counted)
+    rows = rows.withColumn("len", F.least(F.floor(F.log2(F.greatest("n_chars", F.lit(1)).cast("double")) / 2), F.lit(5)).cast("int"))
+    held = rows.join(ids.filter(held_out("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    limits = written(spark, thresholds(held).filter((F.col("held") >= MIN_HELD) | ((F.col("model") == ALL) & (F.col("len") == -1))))
+    of_all = {r["len"]: r["threshold"] for r in limits.filter(F.col("model") == ALL).collect()}  # 7 at most
+    own = limits.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("len", "threshold"))).alias("own"))  # 7 at most a model
+    shared = F.lit(None).cast("double")
+    for n in range(6):
+        if n in of_all:
+            shared = F.when(F.col("len") == n, F.lit(of_all[n])).otherwise(shared)
+    out = rows.join(written(spark, own), "model", "left")
+    threshold = F.coalesce(F.col("own")[F.col("len")], shared, F.col("own")[F.lit(-1)], F.lit(of_all.get(-1)).cast("double"))
+    return out.select("doc_id", "lang", "text_hash", "score", threshold.alias("threshold")).withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps."""
-    return classify(docs, labels).filter("__kept").select(*(f"`{c}`" for c in docs.columns))
+    """The rows of docs that the classifier keeps; docs is a table (see scored)."""
+    rejected = written(docs.sparkSession, classify(docs, labels).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("text_hash").alias("__hash")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("lang").cast("string").eqNullSafe(F.col("__lang")) & (text_hash(F.col("text").cast("string")) == F.col("__hash"))
+    return docs.join(rejected, same, "left_anti")
 
 
 def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    out = classify(docs, table(spark, sf_dir, "labels")).drop("text")
-    return out.select("doc_id", "lang", F.col("__score").alias("log2_perplexity"), F.col("__threshold").alias("threshold"), F.col("__kept").alias("kept"))
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", F.col("score").alias("log2_perplexity"), "threshold", "kept")

@@ -3,9 +3,12 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup, mixing, ngram_quality, quality_rules, secrets
 
@@ -245,14 +248,13 @@ def test_clean_documents_equal_brute_force(docs, odd, empty, make_docs):
 
 # --- n-gram quality ---------------------------------------------------------------------------
 def brute_kn(texts):
-    """Interpolated modified Kneser-Ney over class n-grams, by dictionaries."""
-    v, order = ngram_quality.V, ngram_quality.ORDER
-    classes = ngram_quality.alphabet()
+    """Interpolated modified Kneser-Ney over character n-grams, by dictionaries."""
+    v, order = len(set("".join(texts))) + 1, ngram_quality.ORDER
     counts = [Counter() for _ in range(order + 1)]
     for t in texts:
-        s = [ngram_quality.BLANK] * (order - 1) + [int(classes[ord(c)]) for c in t]
+        s = ngram_quality.START + t
         for i in range(order - 1, len(s)):
-            counts[order][tuple(s[i - order + 1 : i + 1])] += 1
+            counts[order][s[i - order + 1 : i + 1]] += 1
     for k in range(order - 1, 0, -1):
         for g in counts[k + 1]:
             counts[k][g[1:]] += 1
@@ -284,26 +286,74 @@ def brute_kn(texts):
     return p
 
 
-def test_kneser_ney_equals_brute_force(spark, make_docs):
-    texts = ["The cat sat, the cat ran.", "A dog! 12 dogs ran\nfast", "the end of the cat", "Ünï çat"]
-    table = make_docs([(i, t, "en", "s") for i, t in enumerate(texts)])
-    c4 = ngram_quality.counts(table).cache()
-    logs = ngram_quality.tables_of(ngram_quality.kneser_ney(c4), ["=en"])["=en"]
-    p = brute_kn(texts)
-    for t in [*texts, "zebra & cat", "the dog ran"]:
-        for code in ngram_quality.grams(t):
-            g = tuple(int(code) // 32**k % 32 for k in (3, 2, 1, 0))
-            assert 2.0 ** float(logs[code]) == pytest.approx(p(g), rel=1e-4)
-    sums = (2.0 ** logs.astype(np.float64)).reshape(-1, 32).sum(1)
-    assert np.allclose(sums, 1, atol=1e-4)  # every context's probabilities sum to one
+def brute_score(p, text):
+    s = ngram_quality.START + text
+    grams = [s[i : i + ngram_quality.ORDER] for i in range(len(text))]
+    return -sum(math.log2(p(g)) for g in grams) / len(grams)
+
+
+KN_TEXTS = ["The cat sat, the cat ran.", "A dog! 12 dogs ran\nfast", "the end of the cat", "Ünï çat 中文 \U0001f600", "\n\n"]
+KN_OTHER = ["zebra & cat", "the dog ran", "x", "", None, "\x01\n中", "the cat " * 3000]
+
+
+@pytest.mark.parametrize(("block", "numbered"), [(8 << 20, 65535), (100, 65535), (100, 3)])
+def test_scores_equal_brute_force(spark, make_docs, monkeypatch, block, numbered):
+    """Whatever the blocks, and with alphabets too large for numbers of 64 bits."""
+    # Workers import the module anew, so the batches are run here.
+    monkeypatch.setattr(ngram_quality, "BLOCK", block)
+    monkeypatch.setattr(ngram_quality, "NUMBERED", numbered)
+    monkeypatch.setattr(ngram_quality, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    schema = pa.schema([(c, t) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.int64()), ("n_chars", pa.int64()), ("model", pa.string()), ("text", pa.string()))])
+    batches = lambda texts: [pa.RecordBatch.from_pylist([{"doc_id": i, "model": "=en", "text": t} for i, t in part], schema) for part in (list(enumerate(texts))[:4], list(enumerate(texts))[4:])]
+    rows = lambda texts: [r for b in ngram_quality._tally(iter(batches(texts))) for r in b.to_pylist()]
+    counted = spark.createDataFrame(rows(KN_TEXTS)).groupBy("model", "gram").agg(F.sum("n").alias("n"))
+    counted = counted.unionByName(counted.withColumn("model", F.lit(ngram_quality.ALL)))
+    texts = [*KN_TEXTS, *KN_OTHER]
+    asked = rows(texts)
+    logs = {r.gram: r.log2p for r in ngram_quality.log_probabilities(spark.createDataFrame(asked).select("model", "gram").distinct(), counted).collect()}
+    p = brute_kn(KN_TEXTS)
+    got = {}
+    for b in ngram_quality._pack(iter(batches(texts))):
+        for number in b["block"].to_pylist():
+            own = [r for r in asked if r["block"] == number]
+            known = pa.table({"model": pa.array([r["model"] for r in own], pa.string()), "gram": pa.array([r["gram"] for r in own], pa.string()), "log2p": pa.array([logs[r["gram"]] for r in own], pa.float64())})
+            got |= {r["doc_id"]: r["score"] for r in ngram_quality._score(pa.Table.from_batches([b]), known).to_pylist()}
+    assert got == {i: None if not t else pytest.approx(brute_score(p, t), rel=1e-6) for i, t in enumerate(texts)}
+
+
+def test_classifier_scores_and_thresholds(spark, make_docs):
+    """The whole of classify: models by language, and that of all languages for the others."""
+    rows = [(i, t * (1 + i % 3), g, "s") for i, (t, g) in enumerate([(t, g) for g in ("en", "de", None) for t in KN_TEXTS] * 4)] + [(1000, "the cat", "fr", "s"), (1001, None, "en", "s")]
+    docs = make_docs(rows).repartition(3).cache()
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    fold = {r.doc_id: r.h for r in docs.select("doc_id", ngram_quality.held_out("doc_id").alias("h")).collect()}
+    train = [(t, g) for i, t, g, _ in rows if i < 60 and not fold[i]]
+    everything = [t for t, _ in train]
+    own = {g: brute_kn([t for t, x in train if x == g]) for g in ("en", "de", None)}
+    v = len(set("".join(everything))) + 1
+    out = ngram_quality.classify(docs, labels).collect()
+    assert len(out) == len(rows)
+    all_p = brute_kn(everything)
+    for r in out:
+        text = {i: t for i, t, _, _ in rows}[r.doc_id]
+        if r.lang == "fr":
+            assert r.score == pytest.approx(brute_score(all_p, text), rel=1e-6)
+        elif text:
+            assert all(len({c for t, x in train if x == g for c in t}) + 1 == v for g in own)
+            assert r.score == pytest.approx(brute_score(own[r.lang], text), rel=1e-6)
+    held = [round(r.score, 3) for r in out if r.doc_id < 60 and fold[r.doc_id]]
+    q = np.quantile(held, [0.5, ngram_quality.QUANTILE])
+    limit = q[1] + ngram_quality.MARGIN * max(q[1] - q[0], 0.02)
+    assert len(held) < ngram_quality.MIN_HELD and {round(r.threshold, 6) for r in out} == {round(limit, 6)}
+    assert all(r.kept == (r.score is None or r.score <= r.threshold) for r in out)
 
 
 def test_classifier_keeps_good_and_rejects_bad(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    got = ngram_quality.classify(docs, labels).select("doc_id", "__kept").join(labels, "doc_id").collect()
-    assert np.mean([r["__kept"] for r in got if r.quality == 1]) >= 0.97
-    assert np.mean([r["__kept"] for r in got if r.quality == 0]) <= 0.2
+    got = ngram_quality.classify(docs, labels).select("doc_id", "kept").join(labels, "doc_id").collect()
+    assert np.mean([r["kept"] for r in got if r.quality == 1]) >= 0.97
+    assert np.mean([r["kept"] for r in got if r.quality == 0]) <= 0.2
 
 
 def test_classifier_of_odd_rows(spark, odd, empty, labels):
