@@ -47,6 +47,8 @@ START = "\n" * (ORDER - 1)
 BLOCK = 8 << 20
 #: Alphabets up to this size let four characters be one number of 64 bits.
 NUMBERED = 65535
+#: N-grams are looked up in an array of first by second halves of up to so many places (8 bytes each); beyond, by binary search.
+DENSE = 1 << 23
 
 
 # --- n-grams ---------------------------------------------------------------------------
@@ -208,17 +210,33 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
 
 
+def ranks(found: np.ndarray, size: int) -> np.ndarray:
+    """For each number below size its rank, from 1, among those found, or 0."""
+    out = np.zeros(int(size), dtype=np.int64)
+    some = np.unique(found).astype(np.int64)
+    out[some] = np.arange(1, len(some) + 1)
+    return out
+
+
 def mean_bits(texts: list[str], grams: list[str], log2p: np.ndarray) -> np.ndarray:
     """The score of each of the non-empty texts, by the log2 probabilities of their n-grams."""
     known = np.array(grams, dtype=f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
     alphabet = np.unique(known)
     c, inside, sizes = characters(texts)
     keys, asked = codes(known, alphabet), codes(sliding(c), alphabet)[inside]
-    order = np.argsort(keys)
-    at = order[np.minimum(np.searchsorted(keys, asked, sorter=order), len(keys) - 1)]
-    if not np.array_equal(keys[at], asked):
+    half = np.uint64((len(alphabet) + 1) ** (ORDER // 2))
+    if keys.dtype.kind != "U" and half <= DENSE and (left := ranks(keys // half, half)).max() * (right := ranks(keys % half, half)).max() <= DENSE:
+        full = np.full((int(left.max()) + 1, int(right.max()) + 1), np.nan)  # row and column 0: pairs not seen
+        full[left[keys // half], right[keys % half]] = log2p
+        each = full[left[asked // half], right[asked % half]]
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        each = np.where(keys[at] == asked, log2p[order][at], np.nan)
+    if np.isnan(each).any():
         raise RuntimeError("blocks differ between two reads of the documents: pass a table whose rows keep their order")
-    return np.round(-np.add.reduceat(log2p[at], np.cumsum(sizes) - sizes) / sizes, 9)
+    return np.round(-np.add.reduceat(each, np.cumsum(sizes) - sizes) / sizes, 9)
 
 
 SCORED = "doc_id long, lang string, text_hash long, n_chars long, model string, score double"

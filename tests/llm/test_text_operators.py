@@ -296,12 +296,13 @@ KN_TEXTS = ["The cat sat, the cat ran.", "A dog! 12 dogs ran\nfast", "the end of
 KN_OTHER = ["zebra & cat", "the dog ran", "x", "", None, "\x01\n中", "the cat " * 3000]
 
 
-@pytest.mark.parametrize(("block", "numbered"), [(8 << 20, 65535), (100, 65535), (100, 3)])
-def test_scores_equal_brute_force(spark, make_docs, monkeypatch, block, numbered):
+@pytest.mark.parametrize(("block", "numbered", "dense"), [(8 << 20, 65535, 1 << 23), (100, 65535, 0), (100, 3, 1 << 23)])
+def test_scores_equal_brute_force(spark, make_docs, monkeypatch, block, numbered, dense):
     """Whatever the blocks, and with alphabets too large for numbers of 64 bits."""
     # Workers import the module anew, so the batches are run here.
     monkeypatch.setattr(ngram_quality, "BLOCK", block)
     monkeypatch.setattr(ngram_quality, "NUMBERED", numbered)
+    monkeypatch.setattr(ngram_quality, "DENSE", dense)
     monkeypatch.setattr(ngram_quality, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
     schema = pa.schema([(c, t) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.int64()), ("n_chars", pa.int64()), ("model", pa.string()), ("text", pa.string()))])
     batches = lambda texts: [pa.RecordBatch.from_pylist([{"doc_id": i, "model": "=en", "text": t} for i, t in part], schema) for part in (list(enumerate(texts))[:4], list(enumerate(texts))[4:])]
