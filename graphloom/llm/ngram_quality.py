@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import table, text_hash, written
 
 ORDER = 4
-QUANTILE, MARGIN, MIN_HELD, HELD_OUT = 0.95, 4.0, 30, 5
+#: MARGIN is chosen from the labels for a rejection of 2.5 % of trusted text (2.4 % on 10,000 documents; 4.5 % at 0, 0.6 % at 4).
+QUANTILE, MARGIN, MIN_HELD, HELD_OUT = 0.95, 0.5, 30, 5
 ALL = "*"
 #: What stands before a text.
 START = "\n" * (ORDER - 1)

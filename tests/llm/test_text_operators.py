@@ -357,6 +357,14 @@ def test_classifier_keeps_good_and_rejects_bad(spark):
     assert np.mean([r["kept"] for r in got if r.quality == 0]) <= 0.2
 
 
+def test_classifier_rejects_toxic_and_bad(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = ngram_quality.classify(docs, labels).select("doc_id", "kept").join(labels, "doc_id").collect()
+    rejected = lambda q, t: np.mean([not r["kept"] for r in got if r.quality == q and (t is None or r.toxic == t)])
+    assert rejected(1, 0) <= 0.025 and rejected(1, 1) >= 0.5 and rejected(0, None) >= 0.95
+
+
 def test_classifier_of_odd_rows(spark, odd, empty, labels):
     out = ngram_quality.kept_documents(odd, labels)
     assert out.columns == odd.columns and {(r.doc_id, r.text) for r in out.collect()} >= {(1, None), (2, "")}
