@@ -2,7 +2,8 @@
 
 A candidate is a run of 16 or more characters that keys are made of, with a digit or
 with both cases after its first letter.  The network reads the candidate and the text
-around it; it is trained here on labelled findings, its outputs are calibrated on
+around it, a candidate longer than INSIDE in overlapping windows and in its parts
+between = / . too, of which the most suspicious counts; it is trained here on labelled findings, its outputs are calibrated on
 findings held out from training, and its threshold is the highest that keeps the wanted
 recall there.  It adds spans; those of the patterns always stay.
 
@@ -18,6 +19,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 DIGIT = re.compile(r"[0-9]")
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Characters from one window of a long candidate to the next.
+STEP = 10
+PART = re.compile(r"[^=/.]{16,}")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -81,6 +86,16 @@ def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+def within(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Parts and windows of a long candidate that are candidates themselves, as spans."""
+    for m in PART.finditer(text, a, b):
+        if mixed(text, *m.span()):
+            yield m.span()
+    for at in [*range(a + STEP, b - INSIDE, STEP), b - INSIDE]:
+        if mixed(text, at, at + INSIDE):
+            yield at, at + INSIDE
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, pooling by mean and maximum, a linear layer; scale and shift calibrate."""
@@ -229,13 +244,23 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def hidden(net: Network, text: str, a: int, b: int) -> bool:
+    """Whether some part or window of a long candidate reaches the threshold."""
+    inside = within(text, a, b)
+    while some := list(islice(inside, 1024)):
+        if (net.probability(windows(text, some)) >= net.threshold).any():
+            return True
+    return False
+
+
 def _scan(net: Network):
-    def flush(rows: list, held: list[np.ndarray], owners: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    def flush(rows: list, held: list[np.ndarray], owners: list[tuple[int, int, int]], deep: list[tuple[int, int, int]]) -> pa.RecordBatch:
         extra: dict[int, list] = {}
+        found = set(deep)
         if owners:
             p = net.probability(np.concatenate(held))
             for (row, a, b), q in zip(owners, p, strict=True):
-                if q >= net.threshold:
+                if q >= net.threshold or (row, a, b) in found:
                     extra.setdefault(row, []).append((a, 3, b))
         cols: list[list] = [[], [], [], [], [], []]
         for i, (doc, base) in enumerate(rows):
@@ -248,7 +273,7 @@ def _scan(net: Network):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, held, owners = [], [], []
+            rows, held, owners, deep = [], [], [], []
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
                 text = text.as_py() or ""
                 runs = [m.span() for m in RUN.finditer(text)]
@@ -256,12 +281,13 @@ def _scan(net: Network):
                 if picked:
                     held.append(windows(text, picked))
                     owners += [(len(rows), *s) for s in picked]
+                deep += [(len(rows), *s) for s in picked if s[1] - s[0] > INSIDE and hidden(net, text, *s)]
                 rows.append((doc, base_spans(text, runs)))
                 if len(owners) >= 4096:
-                    yield flush(rows, held, owners)
-                    rows, held, owners = [], [], []
+                    yield flush(rows, held, owners, deep)
+                    rows, held, owners, deep = [], [], [], []
             if rows:
-                yield flush(rows, held, owners)
+                yield flush(rows, held, owners, deep)
 
     return run
 

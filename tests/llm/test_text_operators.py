@@ -74,6 +74,16 @@ def test_network_on_findings_never_seen():
     assert abs(p.mean() - y.mean()) < 0.05  # calibrated
 
 
+def test_secret_far_inside_a_long_candidate(make_docs):
+    r = random.Random(8)
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    heads = ["/usr/share/common/settings/of/the/production/servers/in/europe/1/", "SOME_VERY_LONG_PRODUCTION_CONFIGURATION_VARIABLE=", "www.example.com/pages/about/our/company/and/its/history/2020/"]
+    texts = [f"see {head}{tail} for more" for head in heads for tail in (*(key() for _ in range(30)), *(f"{w}/index/of/all/the/pages/{n}.html" for n, w in enumerate(["house", "garden", "street", "river", "market"])))]
+    got = {x.doc_id: "cnn" in x.spans for x in secrets.scan(make_docs([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    hit = [got[i] for i, t in enumerate(texts) if ".html" not in t]
+    assert np.mean(hit) >= 0.95 and np.mean([got[i] for i, t in enumerate(texts) if ".html" in t]) <= 0.2
+
+
 def test_network_leaves_prose_alone(docs):
     added = sum("cnn" in r.spans for r in secrets.scan(docs).collect())
     assert added <= 0.02 * docs.count()
