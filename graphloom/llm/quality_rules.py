@@ -31,8 +31,6 @@ from .common import table, written
 
 ALPHA, DELTA = 0.03, 0.05
 MIN_WORDS, MAX_REPEATED = 50, 0.5
-#: Strata beyond the most labelled ones of so many are pooled; bounds what the driver gets.
-MAX_STRATA = 400
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -143,36 +141,46 @@ def _stratum() -> Column:
 
 def select_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, Chosen]:
     """Tested rule sets by stratum ('*' is the pooled one), from rows with lang, good, half and the ratios."""
-    sizes = labelled.groupBy("stratum").agg(F.count(F.when(F.col("good") & (F.col("half") == 1), 1)).alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).collect()
-    enough = 2 * math.log((len(sizes) + 1) / delta) / alpha
-    strata = [r["stratum"] for r in sizes if r["n"] >= enough]
+    spark = labelled.sparkSession
+    sizes = written(spark, labelled.groupBy("stratum").agg(F.count(F.when(F.col("good") & (F.col("half") == 1), 1)).alias("n")))
+    enough = 2 * math.log((sizes.count() + 1) / delta) / alpha
+    own = written(spark, sizes.filter(F.col("n") >= enough).select("stratum", F.lit(True).alias("own")))
+    # As many as the labelled documents have room for.
+    strata = sorted(r["stratum"] for r in own.collect())
     level = delta / (len(strata) + 1)
     # Two rows for a document of an own stratum: its own and the pooled one.
-    each = labelled.withColumn("stratum", F.explode(F.when(F.col("stratum").isin(strata), F.array("stratum", F.lit("*"))).otherwise(F.array(F.lit("*")))))
+    each = labelled.join(own, "stratum", "left").withColumn("stratum", F.explode(F.when(F.col("own"), F.array("stratum", F.lit("*"))).otherwise(F.array(F.lit("*"))))).drop("own")
     counts = [F.count(F.when(F.col(r) > c, 1)).alias(f"{r}_{j}") for r, cs in RULES.items() for j, c in enumerate(cs)]
     fit: dict[tuple, dict] = {}
     for row in each.filter("half = 0").groupBy("stratum", "good").agg(F.count("*").alias("n"), *counts).collect():
         fit[row["stratum"], row["good"]] = {r: [row[f"{r}_{j}"] for j in range(len(cs))] + [row["n"]] for r, cs in RULES.items()}
     none = {r: [0] * (len(cs) + 1) for r, cs in RULES.items()}
     ordered = {s: order_rules(fit.get((s, True), none), fit.get((s, False), none)) for s in [*strata, "*"]}
-    tests = []
-    for s, rules in ordered.items():
-        hit = F.lit(False)
-        for k, (rule, cut) in enumerate(rules):
-            hit = hit | (F.col(rule) > cut)
-            tests.append(F.count(F.when((F.col("stratum") == s) & hit, 1)).alias(f"{list(ordered).index(s)}_{k}"))
-    held = each.filter("half = 1 and good")
-    n_held = {r["stratum"]: r["n"] for r in held.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
-    row = held.agg(F.count("*").alias("all"), *tests).first()
+    # Position (from 1) of the first of its stratum's rules that rejects a row; 0 if none does.
+    first = F.array_position(F.transform("cuts", lambda c: F.element_at(_ratios(), c["rule"]) > c["cut"]), True)
+    held = each.filter("half = 1 and good").join(_table(spark, ordered), "stratum").groupBy("stratum", first.alias("at")).agg(F.count("*").alias("n"))
+    hits: dict[str, dict] = {s: {} for s in ordered}
+    for r in held.collect():
+        hits[r["stratum"]][r["at"]] = r["n"]
     out = {}
-    for i, (s, rules) in enumerate(ordered.items()):
-        n, passed = n_held.get(s, 0), 0
-        while passed < len(rules) and n and at_most(row[f"{i}_{passed}"], n, alpha) <= level:
+    for s, rules in ordered.items():
+        n, passed, rejected = sum(hits[s].values()), 0, 0
+        while passed < len(rules) and n and at_most(rejected + hits[s].get(passed + 1, 0), n, alpha) <= level:
             passed += 1
-        out[s] = Chosen(tuple(rules[:passed]), row[f"{i}_{passed - 1}"] if passed else 0, n)
+            rejected += hits[s].get(passed, 0)
+        out[s] = Chosen(tuple(rules[:passed]), rejected, n)
     return out
 
 
+def _ratios() -> Column:
+    return F.create_map(*(x for r in RULES for x in (F.lit(r), F.col(r))))
+
+
+def _table(spark: SparkSession, rules: dict[str, list]) -> DataFrame:
+    """stratum, cuts: each stratum's rules and cutoffs in their order."""
+    return spark.createDataFrame([(s, [(r, float(c)) for r, c in rs]) for s, rs in rules.items()], "stratum string, cuts array<struct<rule string, cut double>>")
+
+
 def verdicts(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Adds base_failed and kept to measured documents (read several times: a table)."""
     quality = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).filter("doc_id is not null and q is not null").groupBy("doc_id").agg(F.min("q").alias("q"))
@@ -180,17 +188,13 @@ def verdicts(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     labelled = judged.filter(~base_failed()).join(quality, "doc_id").withColumn("good", F.col("q") == 1).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
     chosen = select_cutoffs(written(measured.sparkSession, labelled.select("stratum", "good", "half", *RULES)), alpha, delta)
 
-    def passes(c: Chosen) -> Column:
-        ok = F.lit(True)
-        for rule, cut in c.cutoffs:
-            ok = ok & (F.col(rule) <= cut)
-        return ok
-
-    verdict = passes(chosen["*"])
-    for s, c in chosen.items():
-        if s != "*":
-            verdict = F.when(F.col("stratum") == s, passes(c)).otherwise(verdict)
-    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict).drop("stratum")
+    cuts = _table(measured.sparkSession, {k: c.cutoffs for k, c in chosen.items() if k != "*"})
+    pooled = F.lit(True)
+    for rule, cut in chosen["*"].cutoffs:
+        pooled = pooled & (F.col(rule) <= cut)
+    verdict = F.when(F.col("cuts").isNull(), pooled).otherwise(F.forall("cuts", lambda c: F.element_at(_ratios(), c["rule"]) <= c["cut"]))
+    judged = judged.join(F.broadcast(cuts), "stratum", "left")
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict).drop("stratum", "cuts")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

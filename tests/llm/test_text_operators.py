@@ -138,6 +138,13 @@ def test_a_useless_rule_is_not_chosen(spark):
         assert c.tested == 0 or c.rejected <= quality_rules.ALPHA * c.tested
 
 
+def test_every_stratum_with_enough_labels_has_its_own_cutoffs(spark):
+    others = [f"0.0D AS {r}" for r in quality_rules.RULES if r != "symbols"]
+    made = spark.range(410 * 200).selectExpr("concat('=', id % 410) AS stratum", "id div 410 % 4 < 2 AS good", "cast(id div 410 % 2 AS int) AS half", "if(id div 410 % 4 < 2, 0.0D, 0.8D) AS symbols", *others)
+    got = quality_rules.select_cutoffs(made, alpha=0.5)
+    assert len(got) == 411 and all([r for r, _ in c.cutoffs] == ["symbols"] and c.rejected == 0 and c.tested == (50 if s != "*" else 20500) for s, c in got.items())
+
+
 # --- mixing ---------------------------------------------------------------------------------
 def brute_targets(sizes):
     """sizes by source -> targets, by resharing round after round."""
