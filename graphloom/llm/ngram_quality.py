@@ -46,6 +46,10 @@ ALL = "*"
 START = "\n" * (ORDER - 1)
 #: Bytes of text whose n-grams are asked for together; a longer text is a block of its own.
 BLOCK = 8 << 20
+#: N-grams of a block are numbered and counted in slices of so many, so that a worker holds a few MB a step.
+SLICE = 1 << 20
+#: Rows of a batch that goes back to Spark.
+ROWS = 1 << 16
 #: Alphabets up to this size let four characters be one number of 64 bits.
 NUMBERED = 65535
 #: N-grams are looked up in an array of first by second halves of up to so many places (8 bytes each); beyond, by binary search.
@@ -79,20 +83,34 @@ def codes(windows: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     return out
 
 
-def sliding(c: np.ndarray) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(c, ORDER)
+def sliced(c: np.ndarray, inside: np.ndarray, alphabet: np.ndarray) -> Iterator[np.ndarray]:
+    """The codes of the n-grams that end inside a text, a slice at a time."""
+    for lo in range(0, len(inside), SLICE):
+        part = c[lo : lo + SLICE + ORDER - 1]
+        yield codes(np.lib.stride_tricks.sliding_window_view(part, ORDER), alphabet)[inside[lo : lo + SLICE]]
 
 
-def tally(texts: list[str]) -> tuple[list[str], np.ndarray]:
+def used(c: np.ndarray) -> np.ndarray:
+    """The distinct code points, in order."""
+    seen = np.zeros(0x110000, dtype=bool)
+    for lo in range(0, len(c), SLICE):
+        seen[c[lo : lo + SLICE]] = True
+    return np.flatnonzero(seen).astype("<u4")
+
+
+def tally(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of non-empty texts, and how often each occurs."""
     c, inside, _ = characters(texts)
-    alphabet = np.flatnonzero(np.bincount(c)).astype("<u4")
-    found, n = np.unique(codes(sliding(c), alphabet)[inside], return_counts=True)
+    alphabet = used(c)
+    parts = [np.unique(part, return_counts=True) for part in sliced(c, inside, alphabet)]
+    found, at = np.unique(np.concatenate([part for part, _ in parts]), return_inverse=True)
+    n = np.zeros(len(found), dtype=np.int64)
+    np.add.at(n, at, np.concatenate([times for _, times in parts]))
     if found.dtype.kind != "U":
         base = np.uint64(len(alphabet) + 1)
         digits = [found // base ** np.uint64(ORDER - 1 - k) % base for k in range(ORDER)]
         found = np.stack([alphabet[d.astype(np.int64) - 1] for d in digits], axis=1).view(f"<U{ORDER}")[:, 0]
-    return found.tolist(), n
+    return found, n
 
 
 def model_key(lang: Column | str = "lang") -> Column:
@@ -134,7 +152,9 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, rows in blocks(batches):
         for m, _, texts in by_model(rows):
             grams, n = tally(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(n), pa.int64()), pa.array([m] * len(n)), pa.array(grams, pa.string()), pa.array(n.astype(np.int64))], names=["block", "model", "gram", "n"])
+            for lo in range(0, len(n), ROWS):
+                some = pa.array(grams[lo : lo + ROWS].tolist(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), len(some)), pa.repeat(pa.scalar(m, pa.string()), len(some)), some, pa.array(n[lo : lo + ROWS])], names=["block", "model", "gram", "n"])
 
 
 def tallied(rows: DataFrame) -> DataFrame:
@@ -222,19 +242,27 @@ def ranks(found: np.ndarray, size: int) -> np.ndarray:
 def mean_bits(texts: list[str], grams: list[str], log2p: np.ndarray) -> np.ndarray:
     """The score of each of the non-empty texts, by the log2 probabilities of their n-grams."""
     known = np.array(grams, dtype=f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
-    alphabet = np.unique(known)
+    alphabet = used(known.reshape(-1))
     c, inside, sizes = characters(texts)
-    keys, asked = codes(known, alphabet), codes(sliding(c), alphabet)[inside]
+    keys = codes(known, alphabet)
+    each = np.empty(int(sizes.sum()))
+    at = 0
     half = np.uint64((len(alphabet) + 1) ** (ORDER // 2))
-    if keys.dtype.kind != "U" and half <= DENSE and (left := ranks(keys // half, half)).max() * (right := ranks(keys % half, half)).max() <= DENSE:
+    dense = keys.dtype.kind != "U" and half <= DENSE and (left := ranks(keys // half, half)).max() * (right := ranks(keys % half, half)).max() <= DENSE
+    if dense:
         full = np.full((int(left.max()) + 1, int(right.max()) + 1), np.nan)  # row and column 0: pairs not seen
         full[left[keys // half], right[keys % half]] = log2p
-        each = full[left[asked // half], right[asked % half]]
     else:
         order = np.argsort(keys)
-        keys = keys[order]
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        each = np.where(keys[at] == asked, log2p[order][at], np.nan)
+        keys, log2p = keys[order], log2p[order]
+    for asked in sliced(c, inside, alphabet):
+        if dense:
+            found = full[left[asked // half], right[asked % half]]
+        else:
+            place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            found = np.where(keys[place] == asked, log2p[place], np.nan)
+        each[at : at + len(found)] = found
+        at += len(found)
     if np.isnan(each).any():
         raise RuntimeError("blocks differ between two reads of the documents: pass a table whose rows keep their order")
     return np.round(-np.add.reduceat(each, np.cumsum(sizes) - sizes) / sizes, 9)
