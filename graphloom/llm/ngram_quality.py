@@ -45,7 +45,7 @@ ALL = "*"
 #: What stands before a text.
 START = "\n" * (ORDER - 1)
 #: Bytes of text whose n-grams are asked for together; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 #: N-grams of a block are numbered and counted in slices of so many, so that a worker holds a few MB a step.
 SLICE = 1 << 20
 #: Compression of packed texts: a quarter less to shuffle than level 1, for some 30 CPU seconds a GB.
