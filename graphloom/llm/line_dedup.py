@@ -1,18 +1,26 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line's tokens that hold digits, '@' or '://' are variable fields.  The tree's levels
-are the number of tokens and the first LEAD tokens; a leaf's template is the masked line
-that most documents there have.  Lines of the leaf that agree with it in SIMILAR of
-their tokens are of that template, which generalises the rest; other lines of the leaf
-are templates of their own.  Templates that MIN_DOCS or more documents have are
-recurring; their lines are dropped but for the first (smallest doc_id, then line).
-Lines with fewer than MIN_TOKENS fixed tokens, or a smaller share of them than FIXED,
-are left alone.
+A line's tokens that hold digits, '@' or '://' are variable fields, masked <*>.  The
+tree's levels are the number of tokens and the first LEAD tokens.  Lines with MIN_TOKENS
+or more fixed tokens, at least the share FIXED of them all, are generalised by the
+templates of their leaf:
+
+* the leaf's main template is the masked line that most documents there have (ties: the
+  greatest); lines that agree with it in SIMILAR of their tokens are of it;
+* every other line is of templates with one open run: the tokens behind the lead are cut
+  into runs of a fifth of the line, and each template leaves one run open.  So a leaf has
+  as many templates as it needs.  Lines of fewer than OPEN tokens have none.
+
+All other lines are templates of their own: masked, or, if nothing in them is fixed, as
+they are.  A template that MIN_DOCS or more documents have (LONG_DOCS, if it is of LONG
+or more tokens) is recurring.  Of several recurring templates a line is of the one that
+most documents have (ties: the foremost open run).  Lines of a recurring template are
+dropped but for the first (smallest doc_id, then line).
 
 Cases: a null text has no lines and stays null; blank lines are never dropped.  Rows
 with one doc_id and text are one document and are cut alike; null doc_ids come last.
 Documents are never removed; other columns pass through clean_documents unchanged; an
-empty table gives an empty result.
+empty table gives an empty result.  Templates are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -20,20 +28,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, text_hash, written
+from .common import table, text_hash, written
 
-MIN_DOCS, MIN_TOKENS, LEAD, SIMILAR, FIXED = 5, 3, 3, 0.8, 0.6
+MIN_DOCS, LONG_DOCS, LONG = 5, 2, 50
+LEAD, MIN_TOKENS, FIXED, SIMILAR, OPEN = 3, 3, 0.6, 0.8, 5
 VARIABLE = "[0-9@]|://"
 
 
 #: A whole token that holds a variable field; tried at token starts only, so long tokens cost their length.
-_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?(?:[0-9@]|://)[^\x20\x09-\x0D]*"
+_FIELD = r"(?<![^\x20])[^\x20]*?(?:[0-9@]|://)[^\x20]*"
+
+
+def squeezed(text: Column) -> Column:
+    """The lines of a text, their tokens one space apart."""
+    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
+    one = lambda line: F.trim(F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line))
+    return F.transform(F.split(plain, "\n"), one)
 
 
 def masked(line: Column) -> Column:
-    """The tokens of a line, one space apart, with <*> for variable fields."""
-    fields = F.when(line.rlike(VARIABLE), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
-    return F.trim(F.regexp_replace(fields, SPACE, " "))
+    """A squeezed line with <*> for variable fields."""
+    return F.when(line.rlike(VARIABLE), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,15 +61,34 @@ KEY = ["k0", "k1", "k2"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
+    """Every line that is not blank, with its number of tokens and the hash of its leaf."""
     text = F.col("text").cast("string")
     rows = _keyed(docs.select("doc_id", text.alias("text")))
-    # Masked inside the generator: filters on what it gives can't make Spark mask a line again.
-    rows = rows.select(*KEY, F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("no", "masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    fields = F.when(F.contains("masked", F.lit("<*>")), F.size(F.filter(F.split("masked", " "), lambda t: t == "<*>"))).otherwise(0)
-    leaf = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
-    rows = rows.withColumn("n", n).withColumn("fixed", F.col("n") - fields).filter((F.col("fixed") >= MIN_TOKENS) & (F.col("fixed") >= FIXED * F.col("n")))
-    return rows.select(*KEY, "no", leaf.alias("leaf"), "masked")
+    # Squeezed inside the generator: filters on what it gives can't make Spark do it again.
+    rows = rows.select(*KEY, F.posexplode(squeezed(F.col("text"))).alias("no", "line")).filter("line <> ''")
+    n = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1).cast("int")
+    return rows.withColumn("n", n).withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", LEAD))))
+
+
+def _enough(docs: str, min_docs: int) -> Column:
+    return F.col(docs) >= F.when(F.col("n") >= LONG, F.lit(min(min_docs, LONG_DOCS))).otherwise(F.lit(min_docs))
+
+
+def _templates() -> Column:
+    """array of (run, name): the templates that a line (leaf, n, masked, general) may be of, beside its leaf's main template."""
+    own = F.array(F.struct(F.lit(0).alias("run"), F.xxhash64(F.lit("="), "leaf", "masked").alias("name")))
+    tokens, template = F.split("masked", " "), F.split("template", " ")
+    same = F.aggregate(F.zip_with(tokens, template, lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    main = F.array(F.struct(F.lit(0).alias("run"), F.xxhash64(F.lit("*"), "leaf").alias("name")))
+    width = F.floor(F.col("n") / OPEN).cast("int")
+    runs = F.ceil((F.col("n") - LEAD) / F.greatest(width, F.lit(1))).cast("int")
+
+    def open_run(j: Column) -> Column:
+        start = LEAD + j * width
+        rest = F.concat_ws(" ", F.slice(tokens, F.lit(1), start), F.lit("<+>"), F.slice(tokens, start + width + 1, F.col("n")))
+        return F.struct(j.alias("run"), F.xxhash64(F.lit("+"), "leaf", j, rest).alias("name"))
+
+    return F.when(~F.col("general"), own).when(same >= SIMILAR * F.col("n"), main).when(F.col("n") < OPEN, own).otherwise(F.transform(F.sequence(F.lit(0), runs - 1), open_run))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -62,21 +96,24 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     spark = docs.sparkSession
     lines = _lines(docs)
     # Only hashes are shuffled over all lines; texts follow for leaves that enough documents share.
-    leaves = written(spark, lines.select("leaf", *KEY).distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf"))
-    some = written(spark, lines.join(leaves, "leaf"))
-    per_line = some.select("leaf", "masked", *KEY).distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs"))
+    shared = lines.select("leaf", "n", F.xxhash64(*KEY).alias("doc")).distinct().groupBy("leaf", "n").agg(F.count("*").alias("docs"))
+    leaves = written(spark, shared.filter(_enough("docs", min_docs)).select("leaf"))
+    fields = F.when(F.contains("masked", F.lit("<*>")), F.size(F.filter(F.split("masked", " "), lambda t: t == "<*>"))).otherwise(0)
+    some = lines.join(leaves, "leaf").withColumn("masked", masked(F.col("line"))).withColumn("fixed", F.col("n") - fields)
+    general = (F.col("fixed") >= MIN_TOKENS) & (F.col("fixed") >= FIXED * F.col("n"))
+    # A leading space, which no squeezed line has, marks lines that stand as they are.
+    some = written(spark, some.select(*KEY, "no", "leaf", "n", F.when(F.col("fixed") == 0, F.concat(F.lit(" "), "line")).otherwise(F.col("masked")).alias("masked"), general.alias("general")))
+    per_line = some.filter("general").select("leaf", "masked", *KEY).distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs"))
     best = written(spark, per_line.groupBy("leaf").agg(F.max(F.struct("docs", "masked")).alias("best")).select("leaf", F.col("best.masked").alias("template")))
-    pairs = F.zip_with(F.split("masked", " "), F.split("template", " "), lambda a, b: (a == b).cast("int"))
-    same = F.aggregate(pairs, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
-    near = same >= SIMILAR * F.size(pairs)
-    # A name of its own for the template: grouping by it asks for a new shuffle, so the join by leaf may be split where a leaf is hot.
-    own = F.when(near, F.lit(0).cast("long")).otherwise(F.xxhash64("masked"))
-    named = some.join(best, "leaf").select(F.xxhash64("leaf", own).alias("name"), "no", *KEY)
-    counted = named.select("name", *KEY).distinct().groupBy("name").agg(F.count("*").alias("docs"))
-    firsts = named.groupBy("name").agg(F.min(F.struct(*KEY, "no")).alias("first"))
-    # Small tables, written so that their size is known: the joins below are broadcast if it allows, else split where skewed.
-    kept = written(spark, counted.filter(F.col("docs") >= min_docs).join(firsts, "name"))
-    dropped = named.join(kept, "name").filter(F.struct(*KEY, "no") != F.col("first"))
+    named = some.join(best, "leaf", "left").select(*KEY, "no", "n", F.explode(_templates()).alias("t")).select(*KEY, "no", "n", "t.run", "t.name")
+    named = written(spark, named)
+    counted = named.select("name", "n", *KEY).distinct().groupBy("name", "n").agg(F.count("*").alias("docs"))
+    # Small tables, written so that their size is known: the joins with them are broadcast if it allows, else split where skewed.
+    often = written(spark, counted.filter(_enough("docs", min_docs)).select("name", "docs"))
+    most = F.max(F.struct("docs", (-F.col("run")).alias("run"), "name"))
+    chosen = written(spark, named.join(often, "name").groupBy(*KEY, "no").agg(most.alias("t")).select(*KEY, "no", "t.name"))
+    firsts = written(spark, chosen.groupBy("name").agg(F.min(F.struct(*KEY, "no")).alias("first")))
+    dropped = chosen.join(firsts, "name").filter(F.struct(*KEY, "no") != F.col("first"))
     return dropped.groupBy(*KEY).agg(F.collect_set("no").alias("drop"))
 
 
@@ -107,25 +144,35 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH lines AS (
-  SELECT doc_id, no, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-                                    lambda t: CASE WHEN regexp_matches(t, '{VARIABLE}') THEN '<*>' ELSE t END) AS tokens
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
+  SELECT doc_id, no, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '{VARIABLE}') THEN '<*>' ELSE t END) AS tokens
+  FROM (SELECT doc_id, no, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS raw
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents))
+  WHERE len(raw) > 0),
+counts AS (SELECT *, len(tokens) AS n, len(list_filter(tokens, lambda t: t <> '<*>')) AS fixed FROM lines),
 usable AS (
-  SELECT doc_id, no, len(tokens) AS n, array_to_string(list_slice(tokens, 1, {LEAD}), ' ') AS lead, array_to_string(tokens, ' ') AS masked, tokens
-  FROM lines
-  WHERE len(list_filter(tokens, lambda t: t <> '<*>')) >= {MIN_TOKENS} AND len(list_filter(tokens, lambda t: t <> '<*>')) >= {FIXED} * len(tokens)),
-leaves AS (SELECT n, lead FROM usable GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+  SELECT doc_id, no, n, tokens, array_to_string(list_slice(tokens, 1, {LEAD}), ' ') AS lead, fixed >= {MIN_TOKENS} AND fixed >= {FIXED} * n AS general,
+         CASE WHEN fixed = 0 THEN ' ' || array_to_string(raw, ' ') ELSE array_to_string(tokens, ' ') END AS masked, CASE WHEN n >= {LONG} THEN {LONG_DOCS} ELSE {MIN_DOCS} END AS enough
+  FROM counts),
+leaves AS (SELECT n, lead FROM usable GROUP BY n, lead, enough HAVING count(DISTINCT doc_id) >= enough),
 shared AS (SELECT u.* FROM usable u JOIN leaves USING (n, lead)),
 best AS (
   SELECT n, lead, tokens AS template FROM (
     SELECT n, lead, masked, any_value(tokens) AS tokens, row_number() OVER (PARTITION BY n, lead ORDER BY count(DISTINCT doc_id) DESC, masked DESC) AS r
-    FROM shared GROUP BY n, lead, masked) WHERE r = 1),
+    FROM shared WHERE general GROUP BY n, lead, masked) WHERE r = 1),
 named AS (
-  SELECT n, lead, doc_id, no,
-         CASE WHEN len(list_filter(range(1, n + 1), lambda i: tokens[i] = template[i])) >= {SIMILAR} * n THEN '' ELSE masked END AS own
-  FROM shared JOIN best USING (n, lead)),
-kept AS (SELECT n, lead, own, min(doc_id) AS first_doc, arg_min(no, doc_id * 1000000 + no) AS first_no FROM named GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-dropped AS (SELECT doc_id, list(no) AS gone FROM named JOIN kept USING (n, lead, own) WHERE NOT (doc_id = first_doc AND no = first_no) GROUP BY doc_id),
+  SELECT n, lead, enough, doc_id, no, unnest(
+         CASE WHEN NOT general THEN [{{'run': 0, 'name': '=' || masked}}]
+              WHEN len(list_filter(range(1, n + 1), lambda i: tokens[i] = template[i])) >= {SIMILAR} * n THEN [{{'run': 0, 'name': '*'}}]
+              WHEN n < {OPEN} THEN [{{'run': 0, 'name': '=' || masked}}]
+              ELSE list_transform(range(0, CAST(ceil((n - {LEAD}) / (n // {OPEN})) AS BIGINT)), lambda j: {{'run': j, 'name': '+' || j || ' ' || array_to_string(list_concat(
+                list_concat(list_slice(tokens, 1, {LEAD} + j * (n // {OPEN})), ['<+>']), list_slice(tokens, {LEAD} + (j + 1) * (n // {OPEN}) + 1, n)), ' ')}}) END, recursive := true)
+  FROM shared LEFT JOIN best USING (n, lead)),
+often AS (SELECT n, lead, name, count(DISTINCT doc_id) AS docs FROM named GROUP BY n, lead, name, enough HAVING count(DISTINCT doc_id) >= enough),
+chosen AS (
+  SELECT n, lead, name, doc_id, no FROM (
+    SELECT n, lead, name, doc_id, no, row_number() OVER (PARTITION BY doc_id, no ORDER BY docs DESC, run) AS r FROM named JOIN often USING (n, lead, name)) WHERE r = 1),
+firsts AS (SELECT n, lead, name, min(doc_id) AS first_doc, arg_min(no, doc_id * 1000000 + no) AS first_no FROM chosen GROUP BY n, lead, name),
+dropped AS (SELECT doc_id, list(no) AS gone FROM chosen JOIN firsts USING (n, lead, name) WHERE NOT (doc_id = first_doc AND no = first_no) GROUP BY doc_id),
 cut AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines,
          list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: string_split(text, chr(10))[i]) AS rest

@@ -214,41 +214,77 @@ def test_mixed_documents_repeat_rows(docs, odd):
 
 # --- line dedup -----------------------------------------------------------------------------
 def brute_lines(rows, min_docs=5):
-    """{(doc_id, text)}: lines left, by the tree built document by document."""
-    lines = []
-    for d, t in set(rows):
-        for no, line in enumerate((t or "").split("\n") if t is not None else []):
-            tokens = ["<*>" if re.search(r"[0-9@]|://", w) else w for w in WORD.findall(line)]
-            fixed = sum(w != "<*>" for w in tokens)
-            if fixed >= 3 and fixed >= 0.6 * len(tokens):
-                lines.append(((d, t), no, (len(tokens), *tokens[:3]), tokens))
+    """{(doc_id, text)}: lines left, by the templates of every line, one leaf at a time."""
     leaves = defaultdict(list)
-    for x in lines:
-        leaves[x[2]].append(x)
+    for d, t in set(rows):
+        for no, line in enumerate((t or "").split("\n")):
+            raw = WORD.findall(line)
+            if raw:
+                tokens = ["<*>" if re.search(r"[0-9@]|://", w) else w for w in raw]
+                leaves[(len(raw), *tokens[:3])].append(((d, t), no, raw, tokens))
     gone = defaultdict(set)
     import xxhash
 
     order = lambda k, no: (k[0] is None, k[0] or 0, int(np.uint64(xxhash.xxh64_intdigest(k[1], seed=42)).astype(np.int64)), no)
-    for group in leaves.values():
-        if len({k for k, *_ in group}) < min_docs:
-            continue
+    for (n, *_), group in leaves.items():
+        enough = min(2, min_docs) if n >= 50 else min_docs
+        fixed = lambda tokens: sum(w != "<*>" for w in tokens)
+        general = lambda tokens: fixed(tokens) >= 3 and fixed(tokens) >= 0.6 * n  # noqa: B023, E731
         per = defaultdict(set)
         for k, _, _, tokens in group:
-            per[" ".join(tokens)].add(k)
-        template = max((len(v), m) for m, v in per.items())[1].split(" ")
-        named = defaultdict(list)
-        for k, no, _, tokens in group:
-            same = sum(a == b for a, b in zip(tokens, template))
-            named["" if same >= 0.8 * len(tokens) else " ".join(tokens)].append((k, no))
-        for members in named.values():
-            if len({k for k, _ in members}) >= min_docs:
-                first = min(members, key=lambda m: order(*m))
-                for k, no in members:
-                    if (k, no) != first:
-                        gone[k].add(no)
+            if general(tokens):
+                per[" ".join(tokens)].add(k)
+        main = max(((len(v), m) for m, v in per.items()), default=(0, ""))[1].split(" ")
+        may, docs_of = {}, defaultdict(set)
+        for k, no, raw, tokens in group:
+            names = [("own", *(tokens if fixed(tokens) else raw), fixed(tokens) > 0)]
+            if general(tokens):
+                if sum(x == y for x, y in zip(tokens, main)) >= 0.8 * n:
+                    names = ["main"]
+                elif n >= 5:
+                    w = n // 5
+                    names = [(at, *(x for i, x in enumerate(tokens) if not at <= i < at + w)) for at in range(3, n, w)]
+            may[k, no] = names
+            for name in names:
+                docs_of[name].add(k)
+        members = defaultdict(list)
+        for line, names in may.items():
+            often = [(len(docs_of[x]), -i) for i, x in enumerate(names) if len(docs_of[x]) >= enough]
+            if often:
+                members[names[-max(often)[1]]].append(line)
+        for lines in members.values():
+            first = min(lines, key=lambda m: order(*m))
+            for k, no in lines:
+                if (k, no) != first:
+                    gone[k].add(no)
     return {k: None if k[1] is None else "\n".join(x for i, x in enumerate(k[1].split("\n")) if i not in gone[k]) for k in set(rows)}
 
 
+def left(spark, make_docs, texts):
+    """How many documents still have each line."""
+    out = line_dedup.clean_documents(make_docs([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    return Counter(line for r in out for line in set(r.text.split("\n")) if line)
+
+
+def test_a_leaf_has_as_many_templates_as_it_needs(spark, make_docs):
+    words = "red blue green black white brown".split()
+    texts = [f"Posted in the category {w} by our staff\nPosted in the morning by {v} good people" for w, v in zip(words, reversed(words), strict=True)]
+    texts += ["Posted in the hall with a long notice"] * 6 + ["Posted in the year nobody here can tell"]
+    got = left(spark, make_docs, [f"{t}\nown line of text {chr(97 + i) * 9}" for i, t in enumerate(texts)])
+    assert sum(n for line, n in got.items() if "category" in line) == 1 and sum(n for line, n in got.items() if "morning" in line) == 1
+    assert got["Posted in the hall with a long notice"] == 1 and got["Posted in the year nobody here can tell"] == 1
+
+
+def test_short_numeric_and_long_lines(spark, make_docs):
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = [f"Home\n{i}\n12 34\n中文没有空格的一行\n2024-01-0{i} GET /x 20{i}\nname {chr(97 + i) * 5}" for i in range(6)]
+    texts += [f"{long}\nfirst", f"second\n{long}", "Home again"]
+    got = left(spark, make_docs, texts)
+    assert got["Home"] == got["12 34"] == got["中文没有空格的一行"] == 1 and sum("GET" in line for line in got) == 1
+    assert all(got[str(i)] == 1 and got[f"name {chr(97 + i) * 5}"] == 1 for i in range(6))  # numbers alone stand for themselves
+    assert got[long] == 1 and got["first"] == got["second"] == got["Home again"] == 1
+
+
 def test_clean_documents_equal_brute_force(docs, odd, empty, make_docs):
     line = "Login of user {} from host h{} at last"
     log = make_docs([(i if i != 4 else None, f"unique words number{i} here\n{line.format(i, i % 3)}\n\nshort one\n{'z' * 20000}1", "en", "s") for i in range(9)] * 2)
