@@ -1,18 +1,14 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line's tokens that hold digits, '@' or '://' are variable fields, masked <*>.  The
-tree's levels are the number of tokens and the first LEAD tokens.  Lines with MIN_TOKENS
-or more fixed tokens, at least the share FIXED of them all, are generalised by the
-templates of their leaf:
-
-* the leaf's main template is the masked line that most documents there have (ties: the
-  greatest); lines that agree with it in SIMILAR of their tokens are of it;
-* every other line is of templates with one open run: the tokens behind the lead are cut
-  into runs of a fifth of the line, and each template leaves one run open.  So a leaf has
-  as many templates as it needs.  Lines of fewer than OPEN tokens have none.
-
-All other lines are templates of their own: masked, or, if nothing in them is fixed, as
-they are.  A template that MIN_DOCS or more documents have (LONG_DOCS, if it is of LONG
+tree's levels are the number of tokens and the first LEAD tokens.  A line with MIN_TOKENS
+or more fixed tokens, at least the share FIXED of them all, is of several templates of
+its leaf: the tokens behind the lead are cut into runs of a fifth of the line, and each
+template leaves one run open.  So a leaf has as many templates as it needs, and lines of
+one template agree in four fifths of their tokens.
+
+All other lines, and those of fewer than OPEN tokens, are templates of their own: masked,
+or, if nothing in them is fixed, as they are.  A template that MIN_DOCS or more documents have (LONG_DOCS, if it is of LONG
 or more tokens) is recurring.  Of several recurring templates a line is of the one that
 most documents have (ties: the foremost open run).  Lines of a recurring template are
 dropped but for the first (smallest doc_id, then line).
@@ -31,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table, text_hash, written
 
 MIN_DOCS, LONG_DOCS, LONG = 5, 2, 50
-LEAD, MIN_TOKENS, FIXED, SIMILAR, OPEN = 3, 3, 0.6, 0.8, 5
+LEAD, MIN_TOKENS, FIXED, OPEN = 3, 3, 0.6, 5
 VARIABLE = "[0-9@]|://"
 
 
@@ -75,38 +71,31 @@ def _enough(docs: str, min_docs: int) -> Column:
 
 
 def _templates() -> Column:
-    """array of (run, name): the templates that a line (leaf, n, masked, general) may be of, beside its leaf's main template."""
-    own = F.array(F.struct(F.lit(0).alias("run"), F.xxhash64(F.lit("="), "leaf", "masked").alias("name")))
-    tokens, template = F.split("masked", " "), F.split("template", " ")
-    same = F.aggregate(F.zip_with(tokens, template, lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
-    main = F.array(F.struct(F.lit(0).alias("run"), F.xxhash64(F.lit("*"), "leaf").alias("name")))
+    """Names of the templates that a line (leaf, n, line, masked, fixed) may be of; in the order of their open runs."""
+    # A leading space, which no squeezed line has, marks lines that stand as they are.
+    own = F.array(F.xxhash64("leaf", F.when(F.col("fixed") == 0, F.concat(F.lit(" "), "line")).otherwise(F.col("masked"))))
     width = F.floor(F.col("n") / OPEN).cast("int")
     runs = F.ceil((F.col("n") - LEAD) / F.greatest(width, F.lit(1))).cast("int")
 
-    def open_run(j: Column) -> Column:
-        start = LEAD + j * width
-        rest = F.concat_ws(" ", F.slice(tokens, F.lit(1), start), F.lit("<+>"), F.slice(tokens, start + width + 1, F.col("n")))
-        return F.struct(j.alias("run"), F.xxhash64(F.lit("+"), "leaf", j, rest).alias("name"))
+    def opened(tokens: Column) -> Column:
+        rest = lambda at: F.xxhash64("leaf", at, F.slice(tokens, F.lit(1), at), F.slice(tokens, at + width + 1, F.col("n")))
+        return F.transform(F.sequence(F.lit(0), runs - 1), lambda j: rest(LEAD + j * width))
 
-    return F.when(~F.col("general"), own).when(same >= SIMILAR * F.col("n"), main).when(F.col("n") < OPEN, own).otherwise(F.transform(F.sequence(F.lit(0), runs - 1), open_run))
+    general = (F.col("fixed") >= MIN_TOKENS) & (F.col("fixed") >= FIXED * F.col("n")) & (F.col("n") >= OPEN)
+    return F.when(general, F.element_at(F.transform(F.array(F.split("masked", " ")), opened), 1)).otherwise(own)
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines to drop: the content key and an array of line numbers."""
+    """Lines to drop: the content key and an array of line numbers.  Only hashes are shuffled."""
     spark = docs.sparkSession
     lines = _lines(docs)
-    # Only hashes are shuffled over all lines; texts follow for leaves that enough documents share.
     shared = lines.select("leaf", "n", F.xxhash64(*KEY).alias("doc")).distinct().groupBy("leaf", "n").agg(F.count("*").alias("docs"))
     leaves = written(spark, shared.filter(_enough("docs", min_docs)).select("leaf"))
     fields = F.when(F.contains("masked", F.lit("<*>")), F.size(F.filter(F.split("masked", " "), lambda t: t == "<*>"))).otherwise(0)
-    some = lines.join(leaves, "leaf").withColumn("masked", masked(F.col("line"))).withColumn("fixed", F.col("n") - fields)
-    general = (F.col("fixed") >= MIN_TOKENS) & (F.col("fixed") >= FIXED * F.col("n"))
-    # A leading space, which no squeezed line has, marks lines that stand as they are.
-    some = written(spark, some.select(*KEY, "no", "leaf", "n", F.when(F.col("fixed") == 0, F.concat(F.lit(" "), "line")).otherwise(F.col("masked")).alias("masked"), general.alias("general")))
-    per_line = some.filter("general").select("leaf", "masked", *KEY).distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs"))
-    best = written(spark, per_line.groupBy("leaf").agg(F.max(F.struct("docs", "masked")).alias("best")).select("leaf", F.col("best.masked").alias("template")))
-    named = some.join(best, "leaf", "left").select(*KEY, "no", "n", F.explode(_templates()).alias("t")).select(*KEY, "no", "n", "t.run", "t.name")
-    named = written(spark, named)
+    full = lines.withColumn("masked", masked(F.col("line"))).withColumn("fixed", F.col("n") - fields)
+    some = full.select(*KEY, "no", "leaf", "n", _templates().alias("names")).join(leaves, "leaf")
+    # posexplode_outer: with posexplode Spark would compute all names once more, to filter by their number.
+    named = written(spark, some.select(*KEY, "no", "n", F.posexplode_outer("names").alias("run", "name")))
     counted = named.select("name", "n", *KEY).distinct().groupBy("name", "n").agg(F.count("*").alias("docs"))
     # Small tables, written so that their size is known: the joins with them are broadcast if it allows, else split where skewed.
     often = written(spark, counted.filter(_enough("docs", min_docs)).select("name", "docs"))
@@ -155,18 +144,12 @@ usable AS (
   FROM counts),
 leaves AS (SELECT n, lead FROM usable GROUP BY n, lead, enough HAVING count(DISTINCT doc_id) >= enough),
 shared AS (SELECT u.* FROM usable u JOIN leaves USING (n, lead)),
-best AS (
-  SELECT n, lead, tokens AS template FROM (
-    SELECT n, lead, masked, any_value(tokens) AS tokens, row_number() OVER (PARTITION BY n, lead ORDER BY count(DISTINCT doc_id) DESC, masked DESC) AS r
-    FROM shared WHERE general GROUP BY n, lead, masked) WHERE r = 1),
 named AS (
   SELECT n, lead, enough, doc_id, no, unnest(
-         CASE WHEN NOT general THEN [{{'run': 0, 'name': '=' || masked}}]
-              WHEN len(list_filter(range(1, n + 1), lambda i: tokens[i] = template[i])) >= {SIMILAR} * n THEN [{{'run': 0, 'name': '*'}}]
-              WHEN n < {OPEN} THEN [{{'run': 0, 'name': '=' || masked}}]
+         CASE WHEN NOT general OR n < {OPEN} THEN [{{'run': 0, 'name': '=' || masked}}]
               ELSE list_transform(range(0, CAST(ceil((n - {LEAD}) / (n // {OPEN})) AS BIGINT)), lambda j: {{'run': j, 'name': '+' || j || ' ' || array_to_string(list_concat(
                 list_concat(list_slice(tokens, 1, {LEAD} + j * (n // {OPEN})), ['<+>']), list_slice(tokens, {LEAD} + (j + 1) * (n // {OPEN}) + 1, n)), ' ')}}) END, recursive := true)
-  FROM shared LEFT JOIN best USING (n, lead)),
+  FROM shared),
 often AS (SELECT n, lead, name, count(DISTINCT doc_id) AS docs FROM named GROUP BY n, lead, name, enough HAVING count(DISTINCT doc_id) >= enough),
 chosen AS (
   SELECT n, lead, name, doc_id, no FROM (

@@ -230,20 +230,12 @@ def brute_lines(rows, min_docs=5):
         enough = min(2, min_docs) if n >= 50 else min_docs
         fixed = lambda tokens: sum(w != "<*>" for w in tokens)
         general = lambda tokens: fixed(tokens) >= 3 and fixed(tokens) >= 0.6 * n  # noqa: B023, E731
-        per = defaultdict(set)
-        for k, _, _, tokens in group:
-            if general(tokens):
-                per[" ".join(tokens)].add(k)
-        main = max(((len(v), m) for m, v in per.items()), default=(0, ""))[1].split(" ")
         may, docs_of = {}, defaultdict(set)
         for k, no, raw, tokens in group:
             names = [("own", *(tokens if fixed(tokens) else raw), fixed(tokens) > 0)]
-            if general(tokens):
-                if sum(x == y for x, y in zip(tokens, main)) >= 0.8 * n:
-                    names = ["main"]
-                elif n >= 5:
-                    w = n // 5
-                    names = [(at, *(x for i, x in enumerate(tokens) if not at <= i < at + w)) for at in range(3, n, w)]
+            if general(tokens) and n >= 5:
+                w = n // 5
+                names = [(at, *(x for i, x in enumerate(tokens) if not at <= i < at + w)) for at in range(3, n, w)]
             may[k, no] = names
             for name in names:
                 docs_of[name].add(k)
