@@ -32,7 +32,9 @@ def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    r = F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
+    # Not corr(), which divides by zero where a variance is 0, whatever stands around it.
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    r = F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
     return df.groupBy(*by).agg(F.count("*").alias("n"), r.alias("r"))
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..derive import Tables
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators.similar import near_matches
 from ..sources.jsonl import ordered_digest
 from ..vocab import relation_table
 from .base import query
+from .text_queries import WHITE
 
 OK = "coalesce(pred = gold, false)"
 
@@ -88,17 +90,17 @@ def prefix_agreement(t: Tables) -> DataFrame:
     return rows.groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.element_at("m", "A") == top).alias("matches"), F.count_if(F.element_at("m", "A") == F.element_at("m", "B")).alias("ties"))
 
 
-@query(r""", w AS (SELECT doc_id, string_split(regexp_replace(text, '[^\x00-\x7f]', '_', 'g'), ' ') AS ws FROM documents),
-p AS (SELECT doc_id, unnest(list_distinct(list_filter(list_slice(ws, 1, 8), lambda x: NOT list_contains(list_slice(ws, 9, 16), x)))) AS w FROM w),
-g AS (SELECT doc_id, unnest(list_distinct(list_slice(ws, 9, 16))) AS w FROM w)
-SELECT doc_id, p.w AS predicted, g.w AS gold, CAST(levenshtein(p.w, g.w) AS INTEGER) AS distance FROM p JOIN g USING (doc_id) WHERE levenshtein(p.w, g.w) BETWEEN 1 AND 2""")
+@query(r""", w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[^\x00-\x7f]', '_', 'g'), '[\x09-\x0d ]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(ws[len(ws) // 2 + 1:]) AS w FROM w), p AS (SELECT doc_id, unnest(ws[:len(ws) // 2]) AS w FROM w EXCEPT SELECT * FROM g)
+SELECT doc_id, p.w AS predicted, g.w AS gold, CAST(levenshtein(p.w, g.w) AS INTEGER) AS distance FROM p JOIN g USING (doc_id) WHERE abs(length(p.w) - length(g.w)) <= 2 AND levenshtein(p.w, g.w) BETWEEN 1 AND 2""")
 def near_duplicate_evidence(t: Tables) -> DataFrame:
-    """Names without an exact match beside gold names of the same row within two edits.  Non-ASCII characters count as one sign, as the SQL measures bytes."""
-    words = F.split(F.regexp_replace("text", r"[^\x00-\x7f]", "_"), " ")
-    rows = t.read("documents").select("doc_id", F.array_distinct(F.slice(words, 1, 8)).alias("p"), F.array_distinct(F.slice(words, 9, 8)).alias("g"))
-    pairs = rows.select("doc_id", "g", F.explode(F.array_except("p", "g")).alias("predicted")).select("doc_id", "predicted", F.explode("g").alias("gold"))
-    d = pairs.withColumn("distance", F.levenshtein("predicted", "gold", 2))
-    return d.filter("distance >= 1")
+    """Names without an exact match beside gold names of the same row within two edits: the words of a text's first half and those of its second.  Non-ASCII characters count as one sign, as the SQL measures bytes."""
+    words = F.filter(F.split(F.regexp_replace("text", r"[^\x00-\x7f]", "_"), r"[\x09-\x0d ]+"), lambda x: x != "")
+    rows = t.read("documents").select("doc_id", words.alias("ws")).withColumn("half", F.floor(F.size("ws") / 2).cast("int"))
+    rows = rows.select("doc_id", F.slice("ws", F.lit(1), F.col("half")).alias("p"), F.array_distinct(F.slice("ws", F.col("half") + 1, F.size("ws"))).alias("g"))
+    predicted = rows.select("doc_id", F.explode(F.array_except("p", "g")).alias("a"))
+    gold = rows.select("doc_id", F.explode("g").alias("b"))
+    return near_matches(predicted, gold, ["doc_id"]).withColumnsRenamed({"a": "predicted", "b": "gold"})
 
 
 @query("SELECT a.o_orderkey, a.c = b.c AS same_head, len(a.t) >= 4 AS long_enough FROM (SELECT o_orderkey, string_split(o_orderpriority, '')[1:4] AS c, string_split(o_orderpriority, '') AS t FROM orders) a JOIN (SELECT o_orderkey, string_split('1-URGENT', '')[1:4] AS c FROM orders WHERE o_orderkey % 5 = 0) b USING (o_orderkey)")
@@ -110,14 +112,14 @@ def prefix_audit(t: Tables) -> DataFrame:
     return o.join(b, "o_orderkey").select("o_orderkey", F.slice("t", 1, 4).eqNullSafe(F.slice("u", 1, 4)).alias("same_head"), (F.size("t") >= 4).alias("long_enough"))
 
 
-CLUES = """, t AS (SELECT DISTINCT src, rel, tgt FROM edge WHERE stmt < 60), made AS (SELECT src AS artifact, tgt AS person FROM t WHERE rel = 4),
+CLUES = """, t AS (SELECT DISTINCT src, rel, tgt FROM edge), made AS (SELECT src AS artifact, tgt AS person FROM t WHERE rel = 4),
 q AS (SELECT min(CASE WHEN rel = 5 THEN tgt END) AS c1, min(CASE WHEN rel = 0 THEN tgt END) AS c2 FROM t)"""
 
 
 @query(CLUES + " SELECT person, bool_or(a.src IS NOT NULL) AS clue_1, bool_or(b.src IS NOT NULL) AS clue_2, bool_or(a.src IS NOT NULL AND b.src IS NOT NULL) AS both FROM made CROSS JOIN q LEFT JOIN t a ON a.src = artifact AND a.rel = 5 AND a.tgt = c1 LEFT JOIN t b ON b.src = person AND b.rel = 0 AND b.tgt = c2 GROUP BY person")
 def clue_solver(t: Tables) -> DataFrame:
     """Candidates for whom a clue about their artifact, or about themselves, is among the triples."""
-    triples = t.edge.filter("stmt < 60").select("src", "rel", "tgt").distinct()
+    triples = t.edge.select("src", "rel", "tgt").distinct()
     made = triples.filter("rel = 4").select(F.col("src").alias("artifact"), F.col("tgt").alias("person"))
     clue = triples.agg(F.min(F.when(F.col("rel") == 5, F.col("tgt"))).alias("c1"), F.min(F.when(F.col("rel") == 0, F.col("tgt"))).alias("c2"))  # one row
     first = triples.filter("rel = 5").join(F.broadcast(clue), F.col("tgt") == F.col("c1")).select(F.col("src").alias("artifact"), F.lit(True).alias("x"))
@@ -147,7 +149,7 @@ def balanced_relations(t: Tables) -> DataFrame:
     return t.edge.withColumn("keep", (F.col("rel") != 15) | (part % 5 == 0)).groupBy("stmt", "rel").agg(F.count_if("keep").alias("kept"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, lower(trim(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-z]'))[1])) AS first_line FROM documents WHERE regexp_matches(text, '[a-z]') AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query(rf"SELECT doc_id, lower(regexp_replace(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-z]'))[1], '\A{WHITE}+|{WHITE}+\z', '', 'g')) AS first_line FROM documents WHERE regexp_matches(text, '[a-z]')")
 def first_line(t: Tables) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-z]"))
-    return t.read("documents").filter(F.col("text").rlike("[a-z]") & ~F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", F.lower(X.strip(F.get(lines, F.lit(0)))).alias("first_line"))
+    return t.read("documents").filter(F.col("text").rlike("[a-z]")).select("doc_id", F.lower(X.strip(F.get(lines, F.lit(0)))).alias("first_line"))

@@ -10,6 +10,7 @@ from ..functions import statistics as S
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators.paths import shortest_paths as paths_between
+from ..operators.similar import near_pairs
 from .base import query
 
 #: Deterministic answers in the words of a model, and the SQL of the same.
@@ -43,20 +44,26 @@ def letter_parse_fallback(t: Tables) -> DataFrame:
     return answers(t).select("conv_id", "turn", X.parse_letter_fallback(F.col("response"), names).alias("p")).select("conv_id", "turn", "p.letter", "p.tier")
 
 
-@query(r"""SELECT doc_id, trim(head) AS raw, regexp_replace(trim(regexp_replace(lower(head), '\s+', ' ', 'g')), '[\s.!?;:]+$', '') AS basic
-FROM (SELECT doc_id, string_split(text, chr(10))[1] AS head FROM documents) WHERE NOT regexp_matches(head, '[^\x21-\x7e \x{a1}-\x{24f}]')""")
+#: What (?U)\\s is in Java, in the words of DuckDB.
+WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CLOSING = WHITE[:-1] + r".!?;:]+\z"
+
+
+@query(rf"""SELECT doc_id, raw, basic, regexp_replace(regexp_replace(basic, '(?i){WHITE}*\[{WHITE}*[A-D]({WHITE}*,{WHITE}*[A-D])*{WHITE}*\]{WHITE}*\z', ''), '{CLOSING}', '') AS annotation_stripped
+FROM (SELECT doc_id, raw, regexp_replace(regexp_replace(lower(raw), '{WHITE}+', ' ', 'g'), '{CLOSING}', '') AS basic
+FROM (SELECT doc_id, regexp_replace(text, '\A{WHITE}+|{WHITE}+\z', '', 'g') AS raw FROM documents))""")
 def normalize_tiers(t: Tables) -> DataFrame:
-    head = F.element_at(F.split("text", "\n"), 1)
-    rows = t.read("documents").select("doc_id", head.alias("head")).filter(~F.col("head").rlike(r"[^\x21-\x7e \x{a1}-\x{24f}]"))
-    return rows.select("doc_id", X.normalise(F.col("head"), "raw").alias("raw"), X.normalise(F.col("head"), "basic").alias("basic"))
+    return t.read("documents").select("doc_id", *(X.normalise(F.col("text"), tier).alias(tier) for tier in X.TIERS))
 
 
-@query("""SELECT a.item_id AS a, b.item_id AS b FROM (SELECT item_id, left(text, 4) AS t FROM benchmark) a JOIN (SELECT item_id, left(text, 4) AS t FROM benchmark) b
-ON left(a.t, 1) = left(b.t, 1) AND a.item_id < b.item_id AND levenshtein(a.t, b.t) <= 2""")
+@query(r"""SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.w, b.w) AS INTEGER) AS distance
+FROM (SELECT DISTINCT unnest(regexp_split_to_array(regexp_replace(text, '[^\x00-\x7f]', '_', 'g'), '[\x09-\x0d ]+')) AS w FROM benchmark) a
+JOIN (SELECT DISTINCT unnest(regexp_split_to_array(regexp_replace(text, '[^\x00-\x7f]', '_', 'g'), '[\x09-\x0d ]+')) AS w FROM benchmark) b
+ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 2 WHERE levenshtein(a.w, b.w) <= 2""")
 def levenshtein_le2(t: Tables) -> DataFrame:
-    head = t.read("benchmark").select("item_id", F.substring("text", 1, 4).alias("t"), F.substring("text", 1, 1).alias("k"))
-    a, b = head.alias("a"), head.alias("b")
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.item_id") < F.col("b.item_id")) & X.near(F.col("a.t"), F.col("b.t"))).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"))
+    """All words of the texts that are within two edits of each other.  Non-ASCII characters count as one sign, as the SQL measures bytes."""
+    words = t.read("benchmark").select(F.explode(F.split(F.regexp_replace("text", r"[^\x00-\x7f]", "_"), r"[\x09-\x0d ]+")).alias("w"))
+    return near_pairs(words, "w")
 
 
 @query(r"""SELECT page_id, n[1] AS first_int, n[-1] AS last_int, CAST(len(n) AS INTEGER) AS n_ints, list_contains(n, 2) AS has_two
@@ -76,9 +83,9 @@ def template_slot(t: Tables) -> DataFrame:
     return t.read("part").select("p_partkey", X.hash_slot(F.concat(F.lit("13:"), F.col("p_partkey").cast("string")), 16).alias("slot"))
 
 
-@query("SELECT o_orderkey, s AS shift, string_agg(['w', 'x', 'y', 'z'][CAST((i + s) % 4 + 1 AS INTEGER)], '' ORDER BY i) AS choices FROM orders, (SELECT unnest(range(0, 4)) AS s), (SELECT unnest(range(0, 4)) AS i) WHERE o_orderkey % 50 = 0 GROUP BY ALL")
+@query("SELECT o_orderkey, s AS shift, string_agg(['w', 'x', 'y', 'z'][CAST((i + s) % 4 + 1 AS INTEGER)], '' ORDER BY i) AS choices FROM orders, (SELECT unnest(range(0, 4)) AS s), (SELECT unnest(range(0, 4)) AS i) GROUP BY ALL")
 def cyclic_choices(t: Tables) -> DataFrame:
-    rows = t.read("orders").filter("o_orderkey % 50 = 0").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("shift"))
+    rows = t.read("orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("shift"))
     return rows.select("o_orderkey", "shift", F.array_join(X.cyclic_choices(F.array(*map(F.lit, "wxyz")), F.col("shift")), "").alias("choices"))
 
 
@@ -466,9 +473,14 @@ def degree_histogram(t: Tables) -> DataFrame:
     return G.edge_degree(t.edge).groupBy("degree").agg(F.count("*").alias("n"))
 
 
-@query(", n AS (SELECT stmt, cid, len(in_choices) AS m FROM node) SELECT a.stmt AS graph_a, b.stmt AS graph_b FROM (SELECT DISTINCT stmt FROM node WHERE stmt < 40) a, (SELECT DISTINCT stmt FROM node WHERE stmt < 40) b WHERE a.stmt <> b.stmt AND a.stmt % 7 = b.stmt % 7 AND NOT EXISTS (SELECT 1 FROM n x JOIN n y ON x.cid = y.cid WHERE x.stmt = a.stmt AND y.stmt = b.stmt AND x.m > 0 AND y.m > 0)")
+#: Graphs of one set, as many as are paired with each other.
+SET_SIZE = 50
+
+
+@query(f""", s AS (SELECT DISTINCT stmt, stmt // {SET_SIZE} AS k FROM node), p AS (SELECT stmt, stmt // {SET_SIZE} AS k, cid FROM node WHERE len(in_choices) > 0)
+SELECT a.stmt AS graph_a, b.stmt AS graph_b FROM s a JOIN s b ON a.k = b.k AND a.stmt <> b.stmt ANTI JOIN (SELECT DISTINCT x.stmt AS i, y.stmt AS j FROM p x JOIN p y USING (k, cid)) o ON o.i = a.stmt AND o.j = b.stmt""")
 def wrong_pairs_allowed(t: Tables) -> DataFrame:
-    """Pairs of graphs of one class whose answer concepts are disjoint."""
-    graphs = t.node.filter("stmt < 40").groupBy("stmt").agg(F.collect_set(F.when(F.size("in_choices") > 0, F.col("cid"))).alias("people")).withColumn("k", F.col("stmt") % 7)
+    """Pairs of graphs of one set whose answer concepts are disjoint."""
+    graphs = t.node.groupBy("stmt").agg(F.collect_set(F.when(F.size("in_choices") > 0, F.col("cid"))).alias("people")).withColumn("k", F.floor(F.col("stmt") / SET_SIZE))
     a, b = graphs.alias("a"), graphs.alias("b")
     return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.stmt") != F.col("b.stmt"))).filter(~F.arrays_overlap("a.people", "b.people")).select(F.col("a.stmt").alias("graph_a"), F.col("b.stmt").alias("graph_b"))

@@ -115,3 +115,29 @@ def test_boxes(spark):
 def test_prompts_have_five_slots(spark):
     assert all(len(p) == 5 for p in vocab.PROMPTS.values()) and vocab.prompt_table(spark).count() == 45
     assert vocab.relation_table(spark).filter(F.col("priority") == 0).count() == 5
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_near_strings_equal_brute_force(spark):
+    import random
+
+    from graphloom.operators.similar import near_matches, near_pairs
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("abé") for _ in range(r.randrange(9))) for _ in range(150)} | {"x" * 5000, "x" * 4999 + "yz"})
+    df = spark.createDataFrame([(w,) for w in [*words, words[0], None]], "w string")
+    want = {(a, b, edits(a, b)) for a in words for b in words if a < b and abs(len(a) - len(b)) <= 2 and len(a) < 100 and edits(a, b) <= 2}
+    assert {tuple(x) for x in near_pairs(df, "w").collect()} == want | {("x" * 5000, "x" * 4999 + "yz", 2)}
+    rows = [(i % 2, w) for i, w in enumerate(words) if len(w) < 100]
+    left, right = rows[::3], rows[1::3]
+    got = near_matches(spark.createDataFrame(left, "k int, a string"), spark.createDataFrame(right, "k int, b string"), ["k"]).collect()
+    assert {tuple(x) for x in got} == {(k, a, b, edits(a, b)) for k, a in left for j, b in right if j == k and edits(a, b) <= 2}
+    assert near_pairs(df.limit(0), "w").isEmpty()

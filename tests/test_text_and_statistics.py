@@ -29,8 +29,8 @@ def test_letters_v1(spark):
 
 
 def test_letters_v2_reads_the_first_line(spark):
-    got = values(spark, X.parse_letter(F.col("t"), 4, "explicit_v2"), ["\n\n**B.**\nbecause", "A)\nthe answer is D", "So: B\nA"])
-    assert [tuple(g) for g in got] == [("B", "first_line_letter"), ("D", "explicit_answer"), ("FAILED", "FAILED")]
+    got = values(spark, X.parse_letter(F.col("t"), 4, "explicit_v2"), ["\n\nB.\nbecause", "\n\n**B.**\nbecause", "A)\nthe answer is D", "So: B\nA"])
+    assert [tuple(g) for g in got] == [("B", "first_line_letter"), ("B", "bold_letter"), ("D", "explicit_answer"), ("FAILED", "FAILED")]
 
 
 def test_fallback(spark):
