@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, line_dedup, maxscore, mixing, ngram_quality, packing, quality_rules, resampling, secrets, simhash, substring_dedup, url_filter
+from . import collocations, jaccard_join, line_dedup, maxscore, mixing, ngram_quality, packing, quality_rules, resampling, secrets, simhash, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_entropy_mixing": mixing.op8_entropy_mixing,
         "op9_suffix_dedup": substring_dedup.op9_suffix_dedup,
         "op10_url_filters": url_filter.op10_url_filters,
+        "op11_jaccard_join": jaccard_join.op11_jaccard_join,
         "op12_collocations": collocations.op12_collocations,
         "op13_importance_resampling": resampling.op13_importance_resampling,
     }
