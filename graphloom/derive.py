@@ -17,6 +17,12 @@ CONCEPTS, N_RELATIONS = 40, 17
 LETTERS = ["A", "B", "C", "D"]
 
 
+#: Words of the documents' texts that stand for markup in replies, and what for.
+MARKUP = [
+    (" the ", " [ "), (" and ", " ] "), (" of ", ' "'), (" is ", '" '), (" on ", " “"), (" that ", "” "), (" to ", "\nAnswer: "), (" in ", " is a "), (" it ", " so the "), (" der ", "\n* "), (" le ", " *"), (" el ", "\n- "), (" un ", " not capable of "), (" die ", " (und, [ein, das], und) "), (" la ", ", 7"),
+]
+
+
 class Tables:
     """Lazy DataFrames of one folder."""
 
@@ -64,6 +70,14 @@ class Tables:
 
         return merge_nodes(self.choice_node)
 
+    @property
+    def reply(self) -> DataFrame:
+        """Whole texts of documents with markup in place of some common words: doc_id, text."""
+        text = F.col("text")
+        for word, sign in MARKUP:
+            text = F.replace(text, F.lit(word), F.lit(sign))
+        return self.read("documents").select("doc_id", text.alias("text"))
+
     @property
     def outcome(self) -> DataFrame:
         """arm, item, gold and predicted letter (null if unparsed), seconds: the first order of each arm and item."""
@@ -75,6 +89,13 @@ class Tables:
         return first.select("arm", "item", letter(F.col("item")).alias("gold"), pred.alias("pred"), "seconds")
 
 
+def reply_sql() -> str:
+    text = "text"
+    for word, sign in MARKUP:
+        text = f"replace({text}, '{word}', '{sign}')"
+    return text
+
+
 @lru_cache(maxsize=1)
 def graph_ctes() -> str:
     """The same tables as common table expressions."""
@@ -94,6 +115,7 @@ node AS (
 adj AS (SELECT stmt, src AS cid, tgt AS nbr FROM edge UNION SELECT stmt, tgt, src FROM edge),
 flag AS (SELECT stmt, cid, in_question AS q, len(in_choices) > 0 AS a FROM node),
 {RELATION_SQL},
+reply AS (SELECT doc_id, {reply_sql()} AS text FROM documents),
 outcome AS (
   SELECT arm, item, chr(CAST(65 + item % 4 AS INTEGER)) AS gold, CASE WHEN k % 13 <> 0 THEN chr(CAST(65 + (k // 7) % 4 AS INTEGER)) END AS pred, seconds
   FROM (SELECT ['image', 'kg_text', 'none', 'text'][CAST(o_custkey % 4 + 1 AS INTEGER)] AS arm, o_orderkey % 997 AS item, min(o_orderkey) AS k, min(o_totalprice) AS seconds
