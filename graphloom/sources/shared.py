@@ -7,11 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df.checkpoint(); only in local mode, where the setting is absent, a temporary folder is set."""
+def shared_path(spark: SparkSession) -> str:
+    """The folder; only in local mode, where the setting is absent, a temporary one is set."""
     sc = spark.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+        path = sc.getCheckpointDir()
+    return path
+
+
+def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    shared_path(spark)
     return df.checkpoint(eager=True)

@@ -24,6 +24,23 @@ def latest(rows: DataFrame, key: list[str], order: list[str], fields: list[str])
     return rows.groupBy(*key).agg(best.alias("b")).select(*key, *(F.col(f"b.__{f}").alias(f) for f in fields))
 
 
+def replay_check(logged: DataFrame, replayed: DataFrame, run: str, order: list[str], fields: list[str]) -> DataFrame:
+    """run, n_logged, n_replayed, first_difference: a resumed run has to write its log again up to where it stopped.
+
+    Rows of both are numbered by order; the first number (from 1) at which the fields are
+    not the same, or at which the replayed log has ended, is a difference.  Logs without
+    one are prefixes of their replay.  Nulls are equal to each other.
+    """
+
+    def numbered(rows: DataFrame, side: str) -> DataFrame:
+        w = Window.partitionBy(run).orderBy(*order)
+        return rows.select(F.col(run).alias("run"), F.row_number().over(w).alias("no"), F.struct(*fields).alias(side))
+
+    both = numbered(logged, "l").join(numbered(replayed, "r"), ["run", "no"], "full")
+    wrong = F.col("l").isNotNull() & ~F.col("l").eqNullSafe(F.col("r"))
+    return both.groupBy("run").agg(F.count("l").alias("n_logged"), F.count("r").alias("n_replayed"), F.min(F.when(wrong, F.col("no"))).alias("first_difference"))
+
+
 def append_once(stream: DataFrame, path: str, key: list[str], checkpoint: str):
     """Starts a query that appends rows with new keys to a parquet table; replayed batches add nothing.
 
