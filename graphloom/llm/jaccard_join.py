@@ -9,9 +9,10 @@ sets of two blocks, so whole blocks are skipped against each other.
 Answers are derived from those of similar sets.  First each set is compared with one
 leader of each of its blocks, and leaders with those of the next blocks; links found are
 closed to components.  Then blocks with sets of different components are compared by
-their sets' leaders alone: overlap(x, y) <= overlap(leader x, leader y) + |x - leader x|
-+ |y - leader y|, and only sets for which that reaches the threshold are compared
-themselves.  Sets of one component are not compared again.
+their sets' leaders alone, and components of similar leaders are joined.  What is still
+apart follows from overlap(x, y) <= overlap(leader x, leader y) + |x - leader x| +
+|y - leader y|: only sets for which that reaches the threshold are compared themselves.
+Sets of one component are not compared again.
 
 The order's common shingles are those that repeat within batches of documents, no more than
 COMMON of them.  They steer how much is compared; any order gives the same links.
@@ -30,11 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_hash, written
-from .shingle_dedup import SEED, shingles
 from .simhash import components
 
 #: Least similarity, as a fraction.
@@ -45,6 +45,36 @@ COMMON = 1 << 20
 REPEATS = 8
 #: Tasks over which a common shingle's entries are dealt.
 DEALT = 64
+#: Bits of the filter of documents whose sets are made anew; beyond that many it lets more through, which a join drops.
+FILTER = 1 << 24
+SHINGLE, SEED = 5, 42
+#: Odd factors, by which the hashes of a shingle's words are weighed.
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Hashes(dict):
+    """Hashes of words, kept for some hundred thousand of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word, SEED)
+        return h
+
+
+def shingles(text: str | None, known: Hashes) -> np.ndarray:
+    """Sorted distinct hashes of the runs of SHINGLE words, or of all words if there are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size = min(SHINGLE, len(words))
+    h = np.full(len(words) - size + 1, np.uint64(size))
+    for i in range(size):
+        h ^= h >> np.uint64(29)
+        h = (h + each[i : i + len(h)]) * _FACTORS[i]
+    h ^= h >> np.uint64(32)
+    return np.unique(h * _FACTORS[0])
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -63,10 +93,11 @@ def prefix_length(n: int) -> int:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (token null), and one for each shingle that repeats in a batch (doc_id null)."""
+    known = Hashes()
     for b in batches:
         sizes, classes, once = [], [], {}
         for t in b["text"]:
-            grams = shingles(t.as_py())
+            grams = shingles(t.as_py(), known)
             sizes.append(len(grams))
             classes.append(class_of(grams))
             once[classes[-1]] = grams
@@ -112,10 +143,11 @@ def _index(common: np.ndarray):
         rank = np.empty(len(common), np.int64)
         rank[np.searchsorted(table_, common)] = np.arange(len(common))
         seen: set[int] = set()
+        known = Hashes()
         for b in batches:
             tokens, classes, sizes, places, dealt = [], [], [], [], []
             for t in b["text"]:
-                grams = shingles(t.as_py())
+                grams = shingles(t.as_py(), known)
                 c = class_of(grams)
                 if not len(grams) or c in seen:
                     continue
@@ -133,10 +165,18 @@ def _index(common: np.ndarray):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        grams = [shingles(t.as_py()) for t in b["text"]]
-        yield pa.RecordBatch.from_arrays([b["cls"], pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], names=["cls", "grams"])
+def _sets(wanted: np.ndarray):
+    """cls, grams of the rows whose bit is set in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for b in batches:
+            bit = b["bit"].to_numpy()
+            for i in np.flatnonzero(wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).tolist():
+                grams = shingles(b["text"][i].as_py(), known)
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(grams)]), pa.array([grams.view(np.int64)], pa.list_(pa.int64()))], names=["cls", "grams"])
+
+    return run
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -151,18 +191,17 @@ def compatible(n: str, pos: str, m: str, qos: str) -> str:
     return f"({OF} * least({n}, {m}) >= {LEAST} * greatest({n}, {m}) and 1 + least({n} - {pos}, {m} - {qos}) - 1 >= {needed(n, m)})"
 
 
-def within_reach(pairs: DataFrame, heads: DataFrame, slack: str = "0") -> DataFrame:
-    """The pairs (a, b, n, m, ...) that can be similar by what their prefixes share.
+def within_reach(pairs: DataFrame, heads: DataFrame, least: str) -> DataFrame:
+    """The pairs (a, b, ...) that can have so much in common (SQL) by what their prefixes share.
 
     Of two sets, the one whose prefix ends first has no other shingle in common there:
-    the overlap is at most the shared part and what lies behind that prefix.  slack: what
-    sets led by a and b may have more in common, if n and m are theirs.
+    the overlap is at most the shared part and what lies behind that prefix.
     """
     x = heads.select(F.col("cls").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("na"))
     y = heads.select(F.col("cls").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("nb"))
     behind = f"({LEAST} * greatest(na, nb) + {OF - 1}) div {OF} - 1"
     both = pairs.join(x, "a").join(y, "b").withColumn("c", F.size(F.array_intersect("x", "y")))
-    return both.filter(f"c + {behind} + {slack} >= {needed('n', 'm')}").select(pairs.columns)
+    return both.filter(f"c + {behind} >= {least}").select(*pairs.columns, "na", "nb")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,13 +220,24 @@ def _index_lists(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return written(rows.sparkSession, several.select("token", "cls", "n", "pos").distinct())
 
 
+def _bit(doc_id: str, text_hash_: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text_hash_), F.lit(FILTER))
+
+
 def _sets_of(rows: DataFrame, read: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A written table cls, grams of the sets in pairs (a, b), made anew from one text each."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    first = read.join(asked, "cls").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("hash").alias("k2"))).alias("k")).select("cls", "k.*")
-    keyed = rows.select(F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), text_hash("text").alias("k2"), "text")
-    texts = keyed.join(first, ["k0", "k1", "k2"]).dropDuplicates(["cls"]).select("cls", "text")
-    return written(rows.sparkSession, texts.mapInArrow(_sets, "cls long, grams array<long>"))
+    """A written table cls, grams of the sets in pairs (a, b), made anew from one text each.
+
+    Texts are not shuffled: a filter of FILTER bits tells each task which of its texts are asked for.
+    """
+    spark = rows.sparkSession
+    asked = written(spark, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
+    bits = read.join(asked, "cls").groupBy("cls").agg(F.min(_bit("doc_id", F.col("hash"))).alias("bit"))
+    parts = bits.groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).toArrow()  # 2 MB at most
+    wanted = np.zeros(FILTER // 8, np.uint8)
+    for part, some in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        wanted[part * 4096 : part * 4096 + len(some)] = np.frombuffer(some, np.uint8)
+    made = rows.select(_bit("doc_id", text_hash("text")).alias("bit"), "text").mapInArrow(_sets(wanted), "cls long, grams array<long>")
+    return written(spark, made.join(asked, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
 def _by_leaders(index: DataFrame) -> DataFrame:
@@ -214,7 +264,7 @@ def _blocks_apart(index: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple
     x = blocks.withColumnsRenamed({"root": "xr", "leader": "a", "d": "xd"})
     y = blocks.withColumnsRenamed({"n": "m", "pos": "qos", "root": "yr", "leader": "b", "d": "yd"})
     pairs = x.join(y, "token").filter(f"xr < yr and {compatible('n', 'pos', 'm', 'qos')}")
-    return entries, written(spark, pairs)
+    return entries, written(spark, pairs.select("token", "n", "pos", "a", "xd", "m", "qos", "b", "yd"))
 
 
 def _members(entries: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -233,19 +283,28 @@ def links(rows: DataFrame, read: DataFrame) -> DataFrame:
     heads = written(spark, index.groupBy("cls").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")))
     read = read.filter("token is null")
 
-    pairs = written(spark, within_reach(_by_leaders(index), heads))
+    pairs = written(spark, within_reach(_by_leaders(index), heads, needed("n", "m")))
     edges = written(spark, similar(pairs, _sets_of(rows, read, pairs)))
-    roots = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    roots = _components(edges.select("a", "b"))
 
     entries, apart = _blocks_apart(index, edges, roots)
-    apart = written(spark, within_reach(apart, heads, "xd + yd"))
-    asked = apart.select("a", "b").distinct()
-    known = written(spark, overlaps(asked, _sets_of(rows, read, asked)))
-    pairs = written(spark, within_reach(_members(entries, apart.join(known, ["a", "b"]).filter(f"both + xd + yd >= {needed('n', 'm')}")), heads))
+    # For each pair of leaders, how much they must have in common for any of their sets to be similar.
+    asked = apart.groupBy("a", "b").agg(F.min(F.expr(f"{needed('n', 'm')} - xd - yd")).alias("least"))
+    asked = written(spark, within_reach(asked, heads, "least"))
+    known = written(spark, overlaps(asked, _sets_of(rows, read, asked)).filter("both >= least"))
+    # Leaders that are similar themselves join their components; the others' sets are looked at.
+    led = edges.select("a", "b").unionByName(known.filter(f"both >= {needed('na', 'nb')}").select("a", "b"))
+    roots = _components(led)
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}r"))
+    still = known.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("coalesce(ar, a) <> coalesce(br, b)").select("a", "b", "both")
+    near = written(spark, apart.join(still, ["a", "b"]).filter(f"both + xd + yd >= {needed('n', 'm')}"))
+    pairs = written(spark, within_reach(_members(entries, near), heads, needed("n", "m")))
     more = written(spark, similar(pairs, _sets_of(rows, read, pairs)))
-    if more.isEmpty():
-        return roots
-    return components(edges.select("a", "b").unionByName(more.select("a", "b")).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return roots if more.isEmpty() else _components(led.unionByName(more.select("a", "b")))
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def joined(docs: DataFrame) -> DataFrame:
