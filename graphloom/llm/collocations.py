@@ -6,9 +6,10 @@ word is a pivot: around it the text is rewritten to the fragment of up to LONGES
 words on each side that are more frequent (on the right: or equal), up to the first
 other word.  A phrase's rarest word, where it stands first, has the whole phrase in its
 fragment, so a phrase is counted at one pivot and once an occurrence.  Fragments are
-shuffled by pivot and mined there, shorter phrases first: a longer one is looked for only
-in fragments whose shorter one is frequent.  A word with more than SHARD occurrences is cut
-into shards by block of text; its phrases get partial counts, which are summed.
+shuffled by pivot, several pivots sharing a bucket, and mined there, shorter phrases
+first: a longer one is looked for only in fragments whose shorter one is frequent.  A word
+with more than SHARD occurrences has buckets of its own, one for each shard of the blocks
+of text; its phrases get partial counts, which are summed.
 
 Texts are read in blocks.  A block asks once for each distinct word, and the numbers of
 its frequent words meet its compressed texts in one task; no vocabulary is collected or
@@ -27,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,13 @@ from .common import table, written
 from .ngram_quality import blocks
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Occurrences of a pivot that are mined together, and fragments that are held at once.
+#: Occurrences of a pivot that are mined together, and those of the pivots of a bucket on average.
 SHARD, HELD = 1 << 20, 1 << 19
 #: Shards by which a lang's phrases are ranked before their best ones meet.
 SALTS = 16
 REACH = LONGEST - 1
+#: Level of compression of blocks of text, and most shards of a word.
+LEVEL, MANY = 7, 1 << 20
 
 #: Lower-cases A-Z; ends of pieces become full stops, tabs become spaces.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -52,7 +56,7 @@ def tokens(text: str | None) -> list[bytes]:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, rows in blocks(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
             out.write_table(rows)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
 
@@ -64,6 +68,7 @@ def _unpacked(blob: pa.Scalar) -> Iterator[tuple[str, list[bytes]]]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every block's distinct words and their counts; a row without word for all of them."""
     for b in batches:
         for block, blob in zip(b["block"], b["packed"], strict=True):
             found: dict[str, Counter] = {}
@@ -71,23 +76,27 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.setdefault(lang, Counter()).update(words)
             for lang, n in found.items():
                 n.pop(b".", None)
+                n[None] = sum(n.values())
                 words = pa.array(list(n), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.repeat(block, len(words)), pa.repeat(pa.scalar(lang), len(words)), words, pa.array(list(n.values()), pa.int64())], names=["block", "lang", "word", "n"])
 
 
-def numbered(words: DataFrame) -> DataFrame:
-    """A written table of words (lang, word, f) with id: 0, 1, ... by falling f, then lang and word.
+def numbered(rows: DataFrame) -> DataFrame:
+    """A written table of rows (block, lang, word, f) with id: 0, 1, ... for the distinct words by falling f, then lang and word.
 
-    Sorted in ranges; the ranges' sizes give each its first number.
+    Rows are cut into ranges; the numbers of words of the ranges before, one number for
+    each task of the sort, give each its first id.
     """
-    spark = words.sparkSession
+    spark = rows.sparkSession
     order = [F.desc("f"), F.asc("lang"), F.asc("word")]
-    at = F.monotonically_increasing_id()
-    parts = words.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = written(spark, parts.select("lang", "word", "f", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("no")))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the sort
-    first = parts.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    return written(spark, parts.join(first, "part").select("lang", "word", "f", (F.col("first") + F.col("no")).alias("id")))
+    ranged = written(spark, rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count_distinct("lang", "word").alias("n")).collect()}
+    first, before = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        first.append(before)
+        before += sizes.get(part, 0)
+    inside = F.dense_rank().over(Window.partitionBy("part").orderBy(*order))
+    return written(spark, ranged.withColumn("id", F.get(F.lit(first or [0]).cast("array<long>"), F.col("part")) + inside - 1).drop("part"))
 
 
 def fragments(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,45 +114,55 @@ def fragments(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def _fragments(packed: pa.Table, known: pa.Table) -> pa.Table:
-    """Rows of one block: pivot, shard, of (shards of the pivot), n and its n fragments: width of a word, shapes, words."""
-    vocab: dict[str, dict[bytes, int]] = {}
-    for lang, word, i in zip(known["lang"].to_pylist(), known["word"].cast(pa.binary()).to_pylist(), known["id"].to_pylist(), strict=True):
-        vocab.setdefault(lang, {})[word] = i
-    block = packed["block"][0].as_py() if packed.num_rows else 0
-    rows: list[np.ndarray] = [np.full(1, -1, np.int64)]
-    for blob in packed["packed"]:
-        for lang, words in _unpacked(blob):
-            rows += [np.fromiter(map(vocab.get(lang, {}).get, words, repeat(-1)), np.int64, len(words)), rows[0]]
-    ids = np.concatenate(rows)
-    left, right = fragments(ids)
-    pivots = np.flatnonzero(left + right)
-    pivots = pivots[np.argsort(ids[pivots], kind="stable")]
-    cuts = np.flatnonzero(np.diff(ids[pivots], prepend=-1, append=-1))
-    made = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        at = pivots[lo:hi]
-        l, r = left[at], right[at]
-        sizes = l + r + 1
-        flat = ids[np.repeat(at - l - np.cumsum(sizes, dtype=np.int64) + sizes, sizes) + np.arange(sizes.sum(dtype=np.int64))]
-        kind = np.uint16 if flat.max() < 1 << 16 else np.uint32 if flat.max() < 1 << 32 else np.uint64
-        made.append((int(ids[at[0]]), bytes([np.dtype(kind).itemsize]) + (l * LONGEST + r).astype(np.uint8).tobytes() + flat.astype(kind).tobytes(), len(at)))
-    pivot, frags, n = zip(*made, strict=True) if made else ((), (), ())
-    f = dict(zip(known["id"].to_pylist(), known["f"].to_pylist(), strict=True))
-    of = [-(-f[p] // SHARD) for p in pivot]
-    shard = [hash(block) % m for m in of]
-    return pa.table([pa.array(pivot, pa.int64()), pa.array(shard, pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64()), pa.array(frags, pa.binary())], names=["pivot", "shard", "of", "n", "frags"])
-
-
-def opened(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """left, right and the words of n fragments, n x (2 * REACH + 1), -1 where there is none."""
-    shape = np.frombuffer(blob, np.uint8, n, 1).astype(np.int64)
-    flat = np.frombuffer(blob, {2: np.uint16, 4: np.uint32, 8: np.uint64}[blob[0]], offset=1 + n).astype(np.int64)
+def packed_fragments(ids: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> bytes:
+    """The fragments around the places at, as their shapes and words; the words' bytes of equal weight side by side."""
+    left, right = left[at], right[at]
+    sizes = left.astype(np.int64) + right + 1
+    flat = ids[np.repeat(at - left - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    planes = flat.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress((left * LONGEST + right).astype(np.uint8).tobytes() + planes.tobytes(), 1)
+
+
+def opened(blob: bytes, n: int) -> np.ndarray:
+    """The words of n fragments, n x (2 * REACH + 1), -1 where there is none."""
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    shape = raw[:n]
+    flat = np.ascontiguousarray(raw[n:].reshape(8, -1).T).view("<i8")[:, 0]
     left, right = shape // LONGEST, shape % LONGEST
     out = np.full((n, 2 * REACH + 1), -1, np.int64)
     col = np.arange(2 * REACH + 1)
     out[(col >= REACH - left[:, None]) & (col <= REACH + right[:, None])] = flat
-    return left, right, out
+    return out
+
+
+def _fragments(buckets: int):
+    def cut(packed: pa.Table, known: pa.Table) -> pa.Table:
+        """Rows of one block: bucket, whole (whether it holds all of its pivots' fragments), n and the n fragments."""
+        vocab: dict[str, dict[bytes, int]] = {}
+        own, f = known["id"].to_numpy(), known["f"].to_numpy()
+        for lang, word, i in zip(known["lang"].to_pylist(), known["word"].cast(pa.binary()).to_pylist(), own.tolist(), strict=True):
+            vocab.setdefault(lang, {})[word] = i
+        block = packed["block"][0].as_py() if packed.num_rows else 0
+        rows: list[np.ndarray] = [np.full(1, -1, np.int64)]
+        for blob in packed["packed"]:
+            for lang, words in _unpacked(blob):
+                rows += [np.fromiter(map(vocab.get(lang, {}).get, words, repeat(-1)), np.int64, len(words)), rows[0]]
+        del vocab
+        ids = np.concatenate(rows)
+        left, right = fragments(ids)
+        # Buckets from 0 hold several pivots, those below 0 a shard of one.
+        order = np.argsort(own)
+        own, shards = own[order], -(-f[order] // SHARD)
+        target = np.where(shards > 1, -1 - (own * MANY + block % MANY % np.maximum(shards, 1)), own % buckets)
+        pivots = np.flatnonzero(left + right)
+        to = target[np.searchsorted(own, ids[pivots])]
+        order = np.argsort(to, kind="stable")
+        pivots, to = pivots[order], to[order]
+        cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else [], len(to)).astype(int)
+        made = [(int(to[lo]), bool(to[lo] >= 0), hi - lo, packed_fragments(ids, pivots[lo:hi], left, right)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.Table.from_pylist([dict(zip(("bucket", "whole", "n", "frags"), m, strict=True)) for m in made], pa.schema([("bucket", pa.int64()), ("whole", pa.bool_()), ("n", pa.int64()), ("frags", pa.binary())]))
+
+    return cut
 
 
 def mine(frags: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -177,25 +196,22 @@ def mine(frags: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _mine(least: int):
-    def solve(held: list[tuple], low: int) -> Iterator[pa.RecordBatch]:
-        frags = np.concatenate([opened(blob, n)[2] for blob, n in held])
-        for grams, times in mine(frags, low):
-            size = grams.shape[1]
+    def solve(held: list[np.ndarray], low: int) -> Iterator[pa.RecordBatch]:
+        for grams, times in mine(np.concatenate(held), low):
             flat = pa.array(np.ascontiguousarray(grams).reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, grams.shape[1], dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([lists, pa.array(times.astype(np.int64))], names=["gram", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last, low = 0, None, 0
+        held: list[np.ndarray] = []
+        last, low = None, least
         for b in batches:
-            for pivot, shard, of, n, blob in zip(b["pivot"].to_pylist(), b["shard"].to_pylist(), b["of"].to_pylist(), b["n"].to_pylist(), b["frags"], strict=True):
-                now = 1 if of > 1 else least  # what a shard finds is a part of the count
-                if held and (pivot, shard) != last and (size >= HELD or now != low):
+            for bucket, whole, n, blob in zip(b["bucket"].to_pylist(), b["whole"].to_pylist(), b["n"].to_pylist(), b["frags"], strict=True):
+                if held and bucket != last:
                     yield from solve(held, low)
-                    held, size = [], 0
-                held.append((blob.as_py(), n))
-                size, last, low = size + n, (pivot, shard), now
+                    held = []
+                held.append(opened(blob.as_py(), n))
+                last, low = bucket, least if whole else 1  # what a shard finds is a part of the count
         if held:
             yield from solve(held, low)
 
@@ -207,13 +223,14 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null")
     packed = written(spark, rows.mapInArrow(_pack, "block long, packed binary"))
-    asked = written(spark, packed.mapInArrow(_words, "block long, lang string, word string, n long"))
-    counted = written(spark, asked.groupBy("lang", "word").agg(F.sum("n").alias("f")))
-    totals = written(spark, counted.groupBy("lang").agg(F.sum("f").alias("n")))
-    vocab = numbered(counted.filter(F.col("f") >= least))
-    known = asked.select("block", "lang", "word").join(vocab, ["lang", "word"]).select("block", "lang", "word", "id", "f")
-    cut = packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_fragments, "pivot long, shard long, of long, n long, frags binary")
-    found = cut.repartition("pivot", "shard").sortWithinPartitions("pivot", "shard").mapInArrow(_mine(least), "gram array<long>, a long")
+    asked = packed.mapInArrow(_words, "block long, lang string, word string, n long")
+    counted = written(spark, asked.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "word"))).filter(F.col("word").isNull() | (F.col("f") >= least)))  # a word has a row for each block
+    totals = written(spark, counted.filter("word is null").select("lang", F.col("f").alias("n")).distinct())
+    known = numbered(counted.filter("word is not null").select("block", "lang", "word", "f"))
+    vocab = written(spark, known.drop("block").distinct())
+    shared = vocab.filter(F.col("f") <= SHARD).agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    cut = packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_fragments(max(1, -(-shared // HELD))), "bucket long, whole boolean, n long, frags binary")
+    found = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mine(least), "gram array<long>, a long")
     return vocab, totals, written(spark, found.groupBy("gram").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
 
 
