@@ -43,11 +43,18 @@ class WordIds(dict):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        # Added tokens are taken out of the text first, wherever they stand.
+        self._added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in whole.get("added_tokens", ())}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in whole.get("added_tokens", ())):
+            raise ValueError("added tokens with conditions are not known here")
+        longest = sorted(self._added, key=len, reverse=True)
+        self._marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         byte_of = _byte_alphabet()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token)}
-        for special in [t for t in ranks if t.startswith(b"<|") and t.endswith(b"|>")]:
-            del ranks[special]
+        for token in self._added:
+            ranks.pop(token.encode(), None)
         self._any = regex.compile(_CUT.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"\p{N}"))
         self._encode = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
@@ -58,6 +65,12 @@ class WordIds(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self._marks and self._marks.search(text):
+            parts = self._marks.split(text)
+            return b"".join(self._added[part] if i % 2 else self._plain_ids(part) for i, part in enumerate(parts))
+        return self._plain_ids(text)
+
+    def _plain_ids(self, text: str) -> bytes:
         words = (self._any if _NOT_LATIN.search(text) else _CUT_LATIN).findall(text)
         return b"".join(map(self.__getitem__, words))
 

@@ -39,12 +39,15 @@ def test_topk_small_tables(spark):
     assert [tuple(r) for r in maxscore.top_k(two, F.col("vec_id") % 10 == 0).collect()] == [(0, 1, 1, 1024 * 2048)]
 
 
+#: Texts with the vocabulary's added token, whole, cut, doubled and beside spaces.
+MARKED = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> x", "<|endoftext|><|endoftext|>", "<|endoftext|", "|endoftext|>", "<<|endoftext|>>", "don't<|endoftext|>'s", "<|ENDOFTEXT|>", "中<|endoftext|>\n\n", "<|pad|> <|endoftext|> é"]
+
+
 # --- packing -----------------------------------------------------------------------
 def check_packing(docs, got, capacity):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_path())
-    t.encode_special_tokens = True
     want = defaultdict(int)
     for d in docs.select("doc_id", "text").collect():
         ids = t.encode(d.text or "", add_special_tokens=False).ids + [0]
@@ -69,6 +72,8 @@ def test_packing_round_trip(spark, sf, odd, empty):
     tokens = sum(r.length for r in got)
     assert check_packing(docs, got, 2048) <= -(-tokens // 2048) + 1
     check_packing(odd, packing.pack(odd, packing.default_path(), 64).collect(), 64)
+    marked = spark.createDataFrame([(i, t) for i, t in enumerate(MARKED)], "doc_id long, text string")
+    check_packing(marked, packing.pack(marked, packing.default_path(), 8).collect(), 8)
     assert packing.pack(empty, packing.default_path()).count() == 0
 
 
