@@ -37,6 +37,7 @@ CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 RUN = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 DIGIT = re.compile(r"[0-9]")
+ENDS = "+/_.=~-"
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
 #: Characters from one window of a long candidate to the next.
@@ -66,6 +67,20 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
     return sorted(found)
 
 
+def outside(text: str, run: tuple[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What is left of a candidate outside the patterns' spans (sorted), where it is long enough to be one itself; separators at its ends are dropped."""
+    a, b = run
+    cuts = [(s, e) for s, _, e in base if s < b and a < e]
+    if not cuts:
+        return [run]
+    found, at = [], a
+    for s, e in [*cuts, (b, b)]:
+        if s > at:
+            found += [(at + len(x) - len(x.lstrip(ENDS)), s - len(x) + len(x.rstrip(ENDS))) for x in (text[at:s],)]
+        at = max(at, e)
+    return [(x, y) for x, y in found if RUN.fullmatch(text, x, y)]
+
+
 # --- the network -----------------------------------------------------------------------
 
 #: Character classes: lower-case letters, upper-case letters, digits and common signs each for itself; the rest together.
@@ -264,9 +279,7 @@ def _scan(net: Network):
                     extra.setdefault(row, []).append((a, 3, b))
         cols: list[list] = [[], [], [], [], [], []]
         for i, (doc, base) in enumerate(rows):
-            # Candidates that a pattern has found already are no news.
-            new = [s for s in extra.get(i, ()) if not any(a < s[2] and s[0] < b for a, _, b in base)]
-            for c, v in zip(cols, (doc, *(sum(k == kind for _, k, _ in base) for kind in (0, 1, 2)), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + new))), strict=True):
+            for c, v in zip(cols, (doc, *(sum(k == kind for _, k, _ in base) for kind in (0, 1, 2)), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + extra.get(i, [])))), strict=True):
                 c.append(v)
         kinds = (pa.int64(),) * 4 + (pa.string(),) * 2
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -277,12 +290,13 @@ def _scan(net: Network):
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
                 text = text.as_py() or ""
                 runs = [m.span() for m in RUN.finditer(text)]
-                picked = [s for s in runs if mixed(text, *s)]
+                base = base_spans(text, runs)
+                picked = [s for r in runs for s in outside(text, r, base) if mixed(text, *s)]
                 if picked:
                     held.append(windows(text, picked))
                     owners += [(len(rows), *s) for s in picked]
                 deep += [(len(rows), *s) for s in picked if s[1] - s[0] > INSIDE and hidden(net, text, *s)]
-                rows.append((doc, base_spans(text, runs)))
+                rows.append((doc, base))
                 if len(owners) >= 4096:
                     yield flush(rows, held, owners, deep)
                     rows, held, owners, deep = [], [], [], []
