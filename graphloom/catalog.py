@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .derive import Tables
-from .plans import graph_queries, more_queries, nested_queries, path_queries, run_queries, span_queries, text_queries  # noqa: F401  registers
+from .plans import checked_queries, graph_queries, more_queries, nested_queries, path_queries, run_queries, span_queries, text_queries  # noqa: F401  registers
 from .plans.base import QUERIES, SQL
 
 

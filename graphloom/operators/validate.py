@@ -44,3 +44,44 @@ def overlap(parts: list[DataFrame], key: list[str]) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p.select(*key).distinct())
     return duplicate_keys(every, key)
+
+
+def unequal(df: DataFrame, key: list[str], stored: Column, derived: Column) -> DataFrame:
+    """Rows whose stored value is not the derived one; nulls are equal to each other."""
+    return df.select(*key, stored.alias("stored"), derived.alias("derived")).filter(~F.col("stored").eqNullSafe(F.col("derived")))
+
+
+def inconsistent_maps(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Keys with more than one map, whatever the order of a map's entries."""
+    entries = F.to_json(F.array_sort(F.map_entries(value)), {"ignoreNullFields": "false"})
+    return df.groupBy(*key).agg(F.count_distinct(entries).alias("n")).filter("n > 1")
+
+
+def incomplete_products(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """Left values that do not meet every right value: n of them and how many there are in all."""
+    every = df.select(*right).distinct().agg(F.count("*").alias("expected"))  # one row
+    return df.groupBy(*left).agg(F.count_distinct(F.struct(*right)).alias("n")).crossJoin(F.broadcast(every)).filter("n < expected")
+
+
+def unbalanced(df: DataFrame, key: list[str], parts: list[str], total: str) -> DataFrame:
+    """Rows whose parts (nulls count 0) do not add up to their total."""
+    added = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts), F.lit(0))
+    return df.select(*key, added.alias("parts"), F.col(total).alias("total")).filter("total is null or parts <> total")
+
+
+def graph_faults(edge: DataFrame, node: DataFrame, n_nodes: tuple[int, int], n_edges: tuple[int, int]) -> DataFrame:
+    """stmt, fault of graphs with too few or many nodes or edges, self-loops, edges without their ends, or a node twice."""
+    size = lambda rows, name, ends: rows.groupBy("stmt").agg(F.count("*").alias("n")).filter(~F.col("n").between(*ends)).select("stmt", F.lit(name).alias("fault"))
+    found = [size(node, "nodes", n_nodes), size(edge, "edges", n_edges), edge.filter("src = tgt").select("stmt", F.lit("self_loop").alias("fault"))]
+    found.append(dangling_edges(edge, node).select("stmt", F.lit("dangling_edge").alias("fault")))
+    found.append(duplicate_keys(node, ["stmt", "cid"]).select("stmt", F.lit("duplicate_node").alias("fault")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def changed_inputs(now: DataFrame, recorded: DataFrame) -> DataFrame:
+    """path, was, now of files (path, sha256) that changed, came or went since they were recorded."""
+    both = recorded.select("path", F.col("sha256").alias("was")).join(now.select("path", F.col("sha256").alias("now")), "path", "full")
+    return both.filter(~F.col("was").eqNullSafe(F.col("now")))
