@@ -52,6 +52,12 @@ class Tables:
         after = self.line.select("l_orderkey", (F.col("no") - 1).alias("no"), F.col("cid").alias("tgt"))
         return self.line.join(after, ["l_orderkey", "no"]).select("stmt", "choice", F.col("cid").alias("src"), "rel", "tgt").distinct()
 
+    @property
+    def seen(self) -> DataFrame:
+        """Every time an edge is met, with the order of meeting: order, line, and what tells the edges of one line number apart."""
+        after = self.line.select("l_orderkey", (F.col("no") - 1).alias("no"), F.col("cid").alias("tgt"))
+        return self.line.join(after, ["l_orderkey", "no"]).select("stmt", F.col("cid").alias("src"), "rel", "tgt", F.struct("l_orderkey", "no", F.col("cid").alias("a"), F.col("rel").alias("r"), F.col("tgt").alias("b")).alias("ord"))
+
     @property
     def choice_node(self) -> DataFrame:
         q = (F.col("no") == 1) & (F.col("flag") == "R")
@@ -106,6 +112,8 @@ line AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 choice_edge AS (
   SELECT DISTINCT a.stmt, a.choice, a.cid AS src, a.rel, b.cid AS tgt FROM line a JOIN line b ON a.l_orderkey = b.l_orderkey AND a.no + 1 = b.no),
+seen AS (
+  SELECT a.stmt, a.cid AS src, a.rel, b.cid AS tgt, {{'k': a.l_orderkey, 'no': a.no, 'a': a.cid, 'r': a.rel, 'b': b.cid}} AS ord FROM line a JOIN line b ON a.l_orderkey = b.l_orderkey AND a.no + 1 = b.no),
 choice_node AS (
   SELECT stmt, choice, cid, bool_or(no = 1 AND flag = 'R') AS qmask, bool_or(no = 3 AND flag = 'A') AS amask FROM line GROUP BY ALL),
 edge AS (SELECT DISTINCT stmt, src, rel, tgt FROM choice_edge),

@@ -64,8 +64,8 @@ def added_types(edge: DataFrame, node: DataFrame) -> DataFrame:
     return both.select("stmt", "cid", F.when(q & a, "q_and_a").when(q, "q_only").when(a, "a_only").otherwise("neither").alias("kind"))
 
 
-def frontier_distance(edge: DataFrame, sources: DataFrame, limit: int = 40) -> DataFrame:
-    """stmt, cid, dist: undirected breadth-first distance from each statement's sources.
+def frontier_distance(edge: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """stmt, cid, dist: undirected breadth-first distance from each statement's sources, up to a limit if one is given.
 
     One join and one distinct a level; stops when a level adds nothing.  Neighbours of a
     level lie in it, in the one before or in the next, so only two levels are looked up.
@@ -76,7 +76,7 @@ def frontier_distance(edge: DataFrame, sources: DataFrame, limit: int = 40) -> D
     spark = edge.sparkSession
     adj = checkpointed(spark, adjacency(edge).filter("cid <> nbr"))
     levels = [checkpointed(spark, sources.select("stmt", "cid").distinct())]
-    while len(levels) <= limit:
+    while limit is None or len(levels) <= limit:
         step = levels[-1].join(adj, ["stmt", "cid"]).select("stmt", F.col("nbr").alias("cid")).distinct()
         for known in levels[-2:]:
             step = step.join(known, ["stmt", "cid"], "left_anti")

@@ -249,20 +249,22 @@ def edge_set_intersection(t: Tables) -> DataFrame:
     return side(0).intersect(side(1))
 
 
-@query(""", cp AS (SELECT DISTINCT rel, src, tgt FROM edge WHERE stmt % 3 = 0), link AS (SELECT DISTINCT src, tgt FROM edge WHERE stmt % 3 = 1),
-f AS (SELECT l.src, l.tgt, min(rel) FILTER (WHERE rel <> 15) AS best, min(rel) AS any_rel FROM link l JOIN cp USING (src, tgt) GROUP BY ALL),
+@query(""", cp AS (SELECT src, tgt, rel, min(ord) AS ord FROM seen WHERE stmt % 3 = 0 GROUP BY ALL), link AS (SELECT DISTINCT src, tgt FROM edge WHERE stmt % 3 = 1),
+f AS (SELECT l.src, l.tgt, arg_min(rel, ord) FILTER (WHERE rel <> 15) AS best, arg_min(rel, ord) AS any_rel FROM link l JOIN cp USING (src, tgt) GROUP BY ALL),
 r AS (SELECT DISTINCT l.src, l.tgt FROM link l JOIN cp ON cp.src = l.tgt AND cp.tgt = l.src)
 SELECT link.src, link.tgt, coalesce(best, any_rel) AS rel, CASE WHEN f.src IS NOT NULL THEN 'kept' WHEN r.src IS NOT NULL THEN 'direction' ELSE 'missing' END AS reason
 FROM link LEFT JOIN f USING (src, tgt) LEFT JOIN r USING (src, tgt)""")
 def first_relation_pick(t: Tables) -> DataFrame:
-    cp = t.edge.filter("stmt % 3 = 0").select("rel", "src", "tgt").distinct()
+    """Each link's relation: the first one seen in the concept graph but the vaguest, or why there is none."""
+    cp = t.seen.filter("stmt % 3 = 0").groupBy("src", "tgt", "rel").agg(F.min("ord").alias("ord"))
     link = t.edge.filter("stmt % 3 = 1").select("src", "tgt").distinct()
-    ordered = F.array_distinct(F.filter(F.array_sort(F.collect_list("rel")), lambda r: r < N_RELATIONS))
-    forward = cp.groupBy("src", "tgt").agg(ordered.alias("rels")).withColumn("rels", F.when(F.size("rels") > 1, F.array_remove("rels", 15)).otherwise(F.col("rels")))
+    plain = F.when((F.col("rel") < N_RELATIONS) & (F.col("rel") != 15), F.struct("ord", "rel"))
+    known = F.when(F.col("rel") < N_RELATIONS, F.struct("ord", "rel"))
+    forward = cp.groupBy("src", "tgt").agg(F.coalesce(F.min(plain), F.min(known)).alias("first")).filter("first is not null")
     back = cp.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), F.lit(True).alias("back")).distinct()
     rows = link.join(forward, ["src", "tgt"], "left").join(back, ["src", "tgt"], "left")
-    reason = F.when(F.col("rels").isNotNull(), "kept").when(F.col("back"), "direction").otherwise("missing")
-    return rows.select("src", "tgt", F.element_at("rels", 1).alias("rel"), reason.alias("reason"))
+    reason = F.when(F.col("first").isNotNull(), "kept").when(F.col("back"), "direction").otherwise("missing")
+    return rows.select("src", "tgt", F.col("first.rel").alias("rel"), reason.alias("reason"))
 
 
 @query(""", cp AS (SELECT DISTINCT rel, src, tgt FROM edge WHERE stmt % 3 = 0), link AS (SELECT DISTINCT src, tgt FROM edge WHERE stmt % 3 = 1)

@@ -12,7 +12,7 @@ from ..operators.similar import near_matches
 from ..sources.jsonl import ordered_digest
 from ..vocab import relation_table
 from .base import query
-from .text_queries import WHITE
+from .text_queries import WHITE, one_byte
 
 OK = "coalesce(pred = gold, false)"
 
@@ -39,10 +39,12 @@ def nested_path_counts(t: Tables) -> DataFrame:
     return per.select("stmt", F.size("rows").cast("long").alias("raw_paths"), F.size(kept).cast("long").alias("kept_paths"))
 
 
-@query(" SELECT stmt, cid, rels FROM (SELECT stmt, src AS cid, list_sort(list(DISTINCT rel)) AS r FROM edge GROUP BY ALL), LATERAL (SELECT array_to_string(CASE WHEN len(r) > 1 THEN list_filter(r, lambda x: x <> 15) ELSE r END, ',') AS rels)")
+@query(""", f AS (SELECT stmt, src AS cid, rel, min(ord) AS ord FROM seen GROUP BY ALL), r AS (SELECT stmt, cid, list(rel ORDER BY ord) AS r FROM f GROUP BY ALL)
+SELECT stmt, cid, array_to_string(CASE WHEN len(r) > 1 THEN list_filter(r, lambda x: x <> 15) ELSE r END, ',') AS rels FROM r""")
 def relation_filter(t: Tables) -> DataFrame:
-    """Distinct relations of a node; the vaguest goes where there are others."""
-    r = t.edge.groupBy("stmt", F.col("src").alias("cid")).agg(F.array_sort(F.collect_set("rel")).alias("r"))
+    """Distinct relations of a node in the order in which they were first seen; the vaguest goes where there are others."""
+    first = t.seen.groupBy("stmt", F.col("src").alias("cid"), "rel").agg(F.min("ord").alias("ord"))
+    r = first.groupBy("stmt", "cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rel"))), lambda x: x["rel"]).alias("r"))
     return r.select("stmt", "cid", F.array_join(F.when(F.size("r") > 1, F.array_remove("r", 15)).otherwise(F.col("r")), ",").alias("rels"))
 
 
@@ -90,17 +92,20 @@ def prefix_agreement(t: Tables) -> DataFrame:
     return rows.groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.element_at("m", "A") == top).alias("matches"), F.count_if(F.element_at("m", "A") == F.element_at("m", "B")).alias("ties"))
 
 
-@query(r""", w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[^\x00-\x7f]', '_', 'g'), '[\x09-\x0d ]+'), lambda x: x <> '') AS ws FROM documents),
-g AS (SELECT DISTINCT doc_id, unnest(ws[len(ws) // 2 + 1:]) AS w FROM w), p AS (SELECT doc_id, unnest(ws[:len(ws) // 2]) AS w FROM w EXCEPT SELECT * FROM g)
-SELECT doc_id, p.w AS predicted, g.w AS gold, CAST(levenshtein(p.w, g.w) AS INTEGER) AS distance FROM p JOIN g USING (doc_id) WHERE abs(length(p.w) - length(g.w)) <= 2 AND levenshtein(p.w, g.w) BETWEEN 1 AND 2""")
+@query(rf""", w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x09-\x0d ]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(ws[len(ws) // 2 + 1:]) AS w FROM w), p AS (SELECT doc_id, unnest(ws[:len(ws) // 2]) AS w FROM w EXCEPT SELECT * FROM g),
+gx AS (SELECT *, {one_byte("w")} AS x FROM g), px AS (SELECT *, {one_byte("w")} AS x FROM p),
+d AS (SELECT doc_id, p.w AS predicted, g.w AS gold, CAST(levenshtein(p.x, g.x) AS INTEGER) AS distance FROM px p JOIN gx g USING (doc_id) WHERE abs(length(p.w) - length(g.w)) <= 2 AND levenshtein(p.x, g.x) BETWEEN 1 AND 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, predicted ORDER BY distance, gold) AS INTEGER) AS place FROM d""")
 def near_duplicate_evidence(t: Tables) -> DataFrame:
-    """Names without an exact match beside gold names of the same row within two edits: the words of a text's first half and those of its second.  Non-ASCII characters count as one sign, as the SQL measures bytes."""
-    words = F.filter(F.split(F.regexp_replace("text", r"[^\x00-\x7f]", "_"), r"[\x09-\x0d ]+"), lambda x: x != "")
+    """Names without an exact match beside gold names of the same row within two edits, nearest first: the words of a text's first half and those of its second."""
+    words = F.filter(F.split("text", r"[\x09-\x0d ]+"), lambda x: x != "")
     rows = t.read("documents").select("doc_id", words.alias("ws")).withColumn("half", F.floor(F.size("ws") / 2).cast("int"))
     rows = rows.select("doc_id", F.slice("ws", F.lit(1), F.col("half")).alias("p"), F.array_distinct(F.slice("ws", F.col("half") + 1, F.size("ws"))).alias("g"))
     predicted = rows.select("doc_id", F.explode(F.array_except("p", "g")).alias("a"))
     gold = rows.select("doc_id", F.explode("g").alias("b"))
-    return near_matches(predicted, gold, ["doc_id"]).withColumnsRenamed({"a": "predicted", "b": "gold"})
+    pairs = near_matches(predicted, gold, ["doc_id"]).withColumnsRenamed({"a": "predicted", "b": "gold"})
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "predicted").orderBy("distance", "gold")))
 
 
 @query("SELECT a.o_orderkey, a.c = b.c AS same_head, len(a.t) >= 4 AS long_enough FROM (SELECT o_orderkey, string_split(o_orderpriority, '')[1:4] AS c, string_split(o_orderpriority, '') AS t FROM orders) a JOIN (SELECT o_orderkey, string_split('1-URGENT', '')[1:4] AS c FROM orders WHERE o_orderkey % 5 = 0) b USING (o_orderkey)")
@@ -141,15 +146,18 @@ def top_failures(t: Tables) -> DataFrame:
     return t.outcome.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("item", "arm", "r")
 
 
-@query(" SELECT stmt, rel, count(*) FILTER (WHERE keep) AS kept, count(*) AS n FROM (SELECT *, rel <> 15 OR ('0x' || substring(sha256(stmt || ':' || src || ':' || tgt), 58, 7))::BIGINT % 5 = 0 AS keep FROM edge) GROUP BY ALL")
+@query(""", vague AS (SELECT stmt, bool_and(rel = 15) AS only_vague FROM edge GROUP BY stmt)
+SELECT stmt, rel, count(*) FILTER (WHERE keep) AS kept, count(*) AS n FROM (SELECT edge.*, only_vague OR rel <> 15 OR ('0x' || substring(sha256(stmt || ':' || src || ':' || tgt), 58, 7))::BIGINT % 5 = 0 AS keep FROM edge JOIN vague USING (stmt)) GROUP BY ALL""")
 def balanced_relations(t: Tables) -> DataFrame:
-    """One in five of the vaguest relation is kept, by a stable hash of the edge."""
+    """One in five of the vaguest relation is kept, by a stable hash of the edge, and all where a graph has no other."""
     key = F.concat_ws(":", *(F.col(c).cast("string") for c in ("stmt", "src", "tgt")))
     part = F.conv(F.substring(F.sha2(key, 256), 58, 7), 16, 10).cast("long")
-    return t.edge.withColumn("keep", (F.col("rel") != 15) | (part % 5 == 0)).groupBy("stmt", "rel").agg(F.count_if("keep").alias("kept"), F.count("*").alias("n"))
+    only = t.edge.groupBy("stmt").agg(F.bool_and(F.col("rel") == 15).alias("only_vague"))
+    return t.edge.join(only, "stmt").withColumn("keep", F.col("only_vague") | (F.col("rel") != 15) | (part % 5 == 0)).groupBy("stmt", "rel").agg(F.count_if("keep").alias("kept"), F.count("*").alias("n"))
 
 
-@query(rf"SELECT doc_id, lower(regexp_replace(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-z]'))[1], '\A{WHITE}+|{WHITE}+\z', '', 'g')) AS first_line FROM documents WHERE regexp_matches(text, '[a-z]')")
+@query(rf"SELECT doc_id, lower(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\A{WHITE}+|{WHITE}+\z', '', 'g')), lambda x: x <> '')[1]) AS first_line FROM documents")
 def first_line(t: Tables) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[a-z]"))
-    return t.read("documents").filter(F.col("text").rlike("[a-z]")).select("doc_id", F.lower(X.strip(F.get(lines, F.lit(0)))).alias("first_line"))
+    """The first line of each text that is not blank; null where there is none."""
+    lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
+    return t.read("documents").select("doc_id", F.lower(F.get(lines, F.lit(0))).alias("first_line"))
