@@ -14,7 +14,7 @@ def exclusive_answers(node: DataFrame) -> DataFrame:
 def baseline_cohort(rows: DataFrame, key: list[str], baseline: Column, capped: Column) -> DataFrame:
     """Rows of all arms whose key has a baseline row, and none that is capped."""
     kept = rows.filter(baseline).groupBy(*key).agg(F.bool_or(F.coalesce(capped, F.lit(False))).alias("__capped")).filter("not __capped")
-    return rows.join(kept.select(*key), key, "left_semi")
+    return rows.join(kept.select(*key), key, "left_semi").select(*rows.columns)
 
 
 def masked(value: Column, covariate: Column, threshold: float, failed: Column | None = None) -> Column:

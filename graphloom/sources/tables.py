@@ -26,7 +26,7 @@ def read_keyed(spark: SparkSession, path: str, schema: StructType, pattern: str,
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """file, document (VARIANT) of files that hold one JSON document each; null where a file holds none."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("document"))
 
 
