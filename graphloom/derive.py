@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .vocab import RELATION_SQL
 
 CONCEPTS, N_RELATIONS = 40, 17
+#: Consecutive orders that are about one item; items grow with the orders.
+ORDERS_AN_ITEM = 8
 LETTERS = ["A", "B", "C", "D"]
 
 
@@ -89,7 +91,7 @@ class Tables:
         """arm, item, gold and predicted letter (null if unparsed), seconds: the first order of each arm and item."""
         orders = self.read("orders").select("o_orderkey", "o_custkey", "o_totalprice")
         arm = F.element_at(F.array(*map(F.lit, ["image", "kg_text", "none", "text"])), (F.col("o_custkey") % 4 + 1).cast("int"))
-        first = orders.groupBy(arm.alias("arm"), (F.col("o_orderkey") % 997).alias("item")).agg(F.min("o_orderkey").alias("k"), F.min("o_totalprice").alias("seconds"))
+        first = orders.groupBy(arm.alias("arm"), F.floor(F.col("o_orderkey") / ORDERS_AN_ITEM).alias("item")).agg(F.min("o_orderkey").alias("k"), F.min("o_totalprice").alias("seconds"))
         letter = lambda n: F.element_at(F.array(*map(F.lit, LETTERS)), (n % 4 + 1).cast("int"))
         pred = F.when(F.col("k") % 13 != 0, letter(F.floor(F.col("k") / 7)))
         return first.select("arm", "item", letter(F.col("item")).alias("gold"), pred.alias("pred"), "seconds")
@@ -126,7 +128,7 @@ flag AS (SELECT stmt, cid, in_question AS q, len(in_choices) > 0 AS a FROM node)
 reply AS (SELECT doc_id, {reply_sql()} AS text FROM documents),
 outcome AS (
   SELECT arm, item, chr(CAST(65 + item % 4 AS INTEGER)) AS gold, CASE WHEN k % 13 <> 0 THEN chr(CAST(65 + (k // 7) % 4 AS INTEGER)) END AS pred, seconds
-  FROM (SELECT ['image', 'kg_text', 'none', 'text'][CAST(o_custkey % 4 + 1 AS INTEGER)] AS arm, o_orderkey % 997 AS item, min(o_orderkey) AS k, min(o_totalprice) AS seconds
+  FROM (SELECT ['image', 'kg_text', 'none', 'text'][CAST(o_custkey % 4 + 1 AS INTEGER)] AS arm, o_orderkey // {ORDERS_AN_ITEM} AS item, min(o_orderkey) AS k, min(o_totalprice) AS seconds
         FROM orders GROUP BY ALL))
 """
 

@@ -47,12 +47,15 @@ def nearest_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
-def equal_bins(value: str, n: int, *partition: str) -> Column:
-    """Bins of equal counts; boundaries are rounded half to even."""
-    rn = F.row_number().over(Window.partitionBy(*partition).orderBy(value))
-    total = F.count("*").over(Window.partitionBy(*partition))
-    bounds = [F.bround(total * b / n) for b in range(1, n)]
-    return sum((F.when(rn > b, 1).otherwise(0) for b in bounds), F.lit(0))
+def partial_spearman(df: DataFrame, x: str, y: str, z: str, *by: str) -> DataFrame:
+    """n and rho of x and y with z held fixed, by group, over average ranks; null where a variance is 0 or n is 2 or less."""
+    ranked = df.select(*by, *(average_rank(c, *by).alias(c) for c in (x, y, z)))
+
+    def r(a: str, b: str) -> Column:
+        return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+    rho = partial(r(x, y), r(x, z), r(y, z))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") > 2, rho).alias("rho"))
 
 
 def _seed(seed: int, key: object) -> int:

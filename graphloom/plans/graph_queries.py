@@ -343,3 +343,26 @@ def sweep_metric_row(t: Tables) -> DataFrame:
     core = P.with_neighbors(t.node, t.edge).filter("q or a").agg(F.count_distinct("stmt").alias("questions"), F.count("*").alias("core_nodes"), F.median("nbrs").alias("median_nbrs"), F.percentile("nbrs", F.lit(0.9)).alias("p90_nbrs"))
     share = G.added_types(t.edge, t.node).groupBy("stmt").agg((F.count_if(F.col("kind") == "q_and_a") / F.count("*")).alias("share")).agg(F.avg("share").alias("mean_bridge_share"))
     return core.join(share)
+
+
+@query(BFS + """, b AS (SELECT dist, CASE WHEN dist IS NULL THEN 'unreachable' WHEN dist = 0 THEN 'in_question' WHEN dist = 1 THEN 'adjacent' WHEN dist <= 3 THEN 'near' ELSE 'far' END AS bucket FROM node LEFT JOIN dist USING (stmt, cid) WHERE len(in_choices) > 0)
+SELECT bucket, dist, count(*) AS answers, count(*) / sum(count(*)) OVER () AS share FROM b GROUP BY ALL""")
+def distance_distribution(t: Tables) -> DataFrame:
+    """How far answer concepts are from the question's, as a histogram with named buckets."""
+    answers = t.node.filter(F.size("in_choices") > 0).select("stmt", "cid")
+    d = F.col("dist")
+    bucket = F.when(d.isNull(), "unreachable").when(d == 0, "in_question").when(d == 1, "adjacent").when(d <= 3, "near").otherwise("far")
+    counts = answers.join(G.frontier_distance(t.edge, G.flags(t.node).filter("q")), ["stmt", "cid"], "left").groupBy(bucket.alias("bucket"), "dist").agg(F.count("*").alias("answers"))
+    total = counts.agg(F.sum("answers").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).select("bucket", "dist", "answers", (F.col("answers") / F.col("total")).alias("share"))
+
+
+@query(OPTION + BFS + """, o AS (SELECT opt.*, near FROM opt LEFT JOIN (SELECT stmt, letter, min(dist) AS near FROM (SELECT stmt, cid, unnest(in_choices) AS letter FROM node) JOIN dist USING (stmt, cid) GROUP BY ALL) USING (stmt, letter))
+SELECT stmt, letter AS best_distractor, degree, near FROM o WHERE letter <> chr(CAST(65 + stmt % 4 AS INTEGER)) QUALIFY row_number() OVER (PARTITION BY stmt ORDER BY degree DESC, near NULLS LAST, letter) = 1""")
+def best_distractors(t: Tables) -> DataFrame:
+    """Of each question's wrong options the one of highest degree, then the nearest, then the first letter."""
+    dist = G.frontier_distance(t.edge, G.flags(t.node).filter("q"))
+    near = t.node.select("stmt", "cid", F.explode("in_choices").alias("letter")).join(dist, ["stmt", "cid"]).groupBy("stmt", "letter").agg(F.min("dist").alias("near"))
+    wrong = option_table(t).filter(F.col("letter") != F.char(F.lit(65) + F.col("stmt") % 4)).join(near, ["stmt", "letter"], "left")
+    best = F.min(F.struct((-F.col("degree")).alias("neg"), F.col("near").isNull().alias("none"), "near", "letter", "degree"))
+    return wrong.groupBy("stmt").agg(best.alias("b")).select("stmt", F.col("b.letter").alias("best_distractor"), "b.degree", "b.near")

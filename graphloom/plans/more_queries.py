@@ -117,20 +117,21 @@ def prefix_audit(t: Tables) -> DataFrame:
     return o.join(b, "o_orderkey").select("o_orderkey", F.slice("t", 1, 4).eqNullSafe(F.slice("u", 1, 4)).alias("same_head"), (F.size("t") >= 4).alias("long_enough"))
 
 
-CLUES = """, t AS (SELECT DISTINCT src, rel, tgt FROM edge), made AS (SELECT src AS artifact, tgt AS person FROM t WHERE rel = 4),
-q AS (SELECT min(CASE WHEN rel = 5 THEN tgt END) AS c1, min(CASE WHEN rel = 0 THEN tgt END) AS c2 FROM t)"""
+CLUES = """, made AS (SELECT DISTINCT stmt, src AS artifact, tgt AS person FROM edge WHERE rel % 3 = 1),
+q AS (SELECT stmt, min(tgt) FILTER (WHERE rel = 5) AS c1, min(tgt) FILTER (WHERE rel = 0) AS c2 FROM edge GROUP BY stmt)"""
 
 
-@query(CLUES + " SELECT person, bool_or(a.src IS NOT NULL) AS clue_1, bool_or(b.src IS NOT NULL) AS clue_2, bool_or(a.src IS NOT NULL AND b.src IS NOT NULL) AS both FROM made CROSS JOIN q LEFT JOIN t a ON a.src = artifact AND a.rel = 5 AND a.tgt = c1 LEFT JOIN t b ON b.src = person AND b.rel = 0 AND b.tgt = c2 GROUP BY person")
+@query(CLUES + """ SELECT m.stmt, person, bool_or(a.src IS NOT NULL) AS clue_1, bool_or(b.src IS NOT NULL) AS clue_2, bool_or(a.src IS NOT NULL AND b.src IS NOT NULL) AS both FROM made m JOIN q USING (stmt)
+LEFT JOIN edge a ON a.stmt = m.stmt AND a.src = artifact AND a.rel = 5 AND a.tgt = c1 LEFT JOIN edge b ON b.stmt = m.stmt AND b.src = person AND b.rel = 0 AND b.tgt = c2 GROUP BY ALL""")
 def clue_solver(t: Tables) -> DataFrame:
-    """Candidates for whom a clue about their artifact, or about themselves, is among the triples."""
-    triples = t.edge.select("src", "rel", "tgt").distinct()
-    made = triples.filter("rel = 4").select(F.col("src").alias("artifact"), F.col("tgt").alias("person"))
-    clue = triples.agg(F.min(F.when(F.col("rel") == 5, F.col("tgt"))).alias("c1"), F.min(F.when(F.col("rel") == 0, F.col("tgt"))).alias("c2"))  # one row
-    first = triples.filter("rel = 5").join(F.broadcast(clue), F.col("tgt") == F.col("c1")).select(F.col("src").alias("artifact"), F.lit(True).alias("x"))
-    second = triples.filter("rel = 0").join(F.broadcast(clue), F.col("tgt") == F.col("c2")).select(F.col("src").alias("person"), F.lit(True).alias("y"))
-    rows = made.join(first, "artifact", "left").join(second, "person", "left").select("person", F.coalesce("x", F.lit(False)).alias("x"), F.coalesce("y", F.lit(False)).alias("y"))
-    return rows.groupBy("person").agg(F.bool_or("x").alias("clue_1"), F.bool_or("y").alias("clue_2"), F.bool_or(F.expr("x and y")).alias("both"))
+    """Each question's candidates, and whether its clue about their artifact, or the one about themselves, is among its triples."""
+    edge = t.edge
+    made = edge.filter("rel % 3 = 1").select("stmt", F.col("src").alias("artifact"), F.col("tgt").alias("person")).distinct()
+    clue = edge.groupBy("stmt").agg(F.min(F.when(F.col("rel") == 5, F.col("tgt"))).alias("c1"), F.min(F.when(F.col("rel") == 0, F.col("tgt"))).alias("c2"))
+    holds = lambda rel, at, which, name: edge.filter(F.col("rel") == rel).join(clue, "stmt").filter(F.col("tgt") == F.col(which)).select("stmt", F.col("src").alias(at), F.lit(True).alias(name)).distinct()
+    rows = made.join(holds(5, "artifact", "c1", "x"), ["stmt", "artifact"], "left").join(holds(0, "person", "c2", "y"), ["stmt", "person"], "left")
+    rows = rows.select("stmt", "person", F.coalesce("x", F.lit(False)).alias("x"), F.coalesce("y", F.lit(False)).alias("y"))
+    return rows.groupBy("stmt", "person").agg(F.bool_or("x").alias("clue_1"), F.bool_or("y").alias("clue_2"), F.bool_or(F.expr("x and y")).alias("both"))
 
 
 @query("SELECT lang, sha256(string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY lang")

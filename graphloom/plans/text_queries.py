@@ -7,41 +7,57 @@ from pyspark.sql import functions as F
 
 from ..derive import LETTERS, Tables
 from ..functions import statistics as S
+from ..functions.ranks import equal_bins as equal_bins_of
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators.paths import shortest_paths as paths_between
 from ..operators.similar import near_pairs
 from .base import query
 
-#: Deterministic answers in the words of a model, and the SQL of the same.
-_SAY = ["'The answer is ' || x || '.'", "'**' || x || '**'", "'(' || x || ')'", "x", "'I think B or C, answer is unclear'", "'Answer: it is ' || x || '. Because'", "x || '. ' || 'some choice text.'", "x || ')' || chr(10) || 'reasons follow here'"]
-ANSWERS = f", said AS (SELECT conv_id, turn, x, CASE conv_id % 8 {' '.join(f'WHEN {i} THEN {s}' for i, s in enumerate(_SAY))} END AS response FROM (SELECT *, chr(CAST(65 + conv_id % 4 AS INTEGER)) AS x FROM conversations))"
+#: Words of the conversations' texts that stand for statements of an answer, and which.
+STATED = [
+    (" this ", " answer is B. "), (" or ", " **C** "), (" by ", "\nA)\n"), (" was ", " correct answer: (D) "), (" are ", " is A. "), (" die ", " the answer is **A**, "), (" que ", " **D** "), (" und ", " Answer is [C] "), (" as ", " answer is Apple "), (" with ", "** B **"), (" sich ", " is C. "),
+]
+#: Names of choices that the fallback looks for.
+NAMES = {"A": "they have", "B": "von", "C": "los", "D": "from"}
 
 
 def answers(t: Tables) -> DataFrame:
-    x = F.char(F.lit(65) + F.col("conv_id") % 4)
-    shapes = [F.concat(F.lit("The answer is "), x, F.lit(".")), F.concat(F.lit("**"), x, F.lit("**")), F.concat(F.lit("("), x, F.lit(")")), x, F.lit("I think B or C, answer is unclear"), F.concat(F.lit("Answer: it is "), x, F.lit(". Because")), F.concat(x, F.lit(". some choice text.")), F.concat(x, F.lit(")\nreasons follow here"))]
-    return t.read("conversations").select("conv_id", "turn", x.alias("x"), F.element_at(F.array(*shapes), (F.col("conv_id") % 8 + 1).cast("int")).alias("response"))
+    """Whole texts of conversations with statements of answers in place of some words."""
+    text = F.col("text")
+    for word, statement in STATED:
+        text = F.replace(text, F.lit(word), F.lit(statement))
+    return t.read("conversations").select("conv_id", "turn", text.alias("response"))
 
 
-def _letters(version: str, last: str):
-    oracle = ANSWERS + f""" SELECT conv_id, turn, CASE WHEN conv_id % 8 IN (4, 5) THEN 'FAILED' WHEN conv_id % 8 = 7 THEN {last[0]} ELSE x END AS letter,
-    CASE conv_id % 8 WHEN 0 THEN 'explicit_answer' WHEN 1 THEN 'bold_letter' WHEN 2 THEN 'sole_letter' WHEN 3 THEN 'exact' WHEN 6 THEN 'option_prefix' WHEN 7 THEN '{last[1]}' ELSE 'FAILED' END AS tier FROM said"""
+def _said() -> str:
+    text = "text"
+    for word, statement in STATED:
+        text = f"replace({text}, '{word}', '{statement}')"
+    one = lambda found: f"CASE WHEN len(list_distinct({found})) = 1 THEN {found}[1] END"
+    return rf""", said AS (SELECT conv_id, turn, {text} AS c FROM conversations),
+cut AS (SELECT *, regexp_replace(c, '\A{WHITE}+|{WHITE}+\z', '', 'g') AS t FROM said),
+found AS (SELECT conv_id, turn, c, regexp_extract(t, '\A([A-D])\z', 1) AS exact, regexp_extract(t, '\A[(\[]?([A-D])[)\]]?[.!]?\z', 1) AS sole,
+  CASE WHEN NOT regexp_matches(substring(t, 4), '\b[A-D]\b') THEN regexp_extract(t, '\A([A-D])\. +[^\n.!?]+[.!?]?\z', 1) END AS opt,
+  regexp_extract_all(t, '(?i:\b(?:correct{WHITE}+)?answer{WHITE}+is{WHITE}*|\bcorrect{WHITE}+answer{WHITE}*:{WHITE}*)(?:\*\*)?[(\[]?([A-D])(?:{WHITE}|[)\]*.,:;!?]|\z)', 1) AS ex,
+  regexp_extract_all(t, '\*\*{WHITE}*[(\[]?([A-D])[)\]]?[.!]?{WHITE}*\*\*', 1) AS bold,
+  regexp_extract(list_filter(string_split_regex(c, '\r\n|[\n\x0b\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^ \t-\r]'))[1], '\A{WHITE}*\**\(?([ABCD])\)?[.):]?\**{WHITE}*\z', 1) AS first,
+  list_distinct(regexp_extract_all(c, '\bis{WHITE}+([A-D])\.', 1)) AS iz,
+  list_filter({list(NAMES)}, lambda x: regexp_matches(c, '(?i)(?:\A|[^\p{{L}}\p{{N}}_])(?:' || map({list(NAMES)}, {list(NAMES.values())})[x] || ')(?:[^\p{{L}}\p{{N}}_]|\z)')) AS named FROM cut),
+v1 AS (SELECT *, CASE WHEN exact <> '' THEN [exact, 'exact'] WHEN sole <> '' THEN [sole, 'sole_letter'] WHEN opt <> '' THEN [opt, 'option_prefix']
+  WHEN len(ex) > 0 THEN CASE WHEN {one("ex")} IS NOT NULL THEN [ex[1], 'explicit_answer'] END WHEN {one("bold")} IS NOT NULL THEN [bold[1], 'bold_letter'] END AS v FROM found)"""
 
-    @query(oracle, name=f"letter_parse_{version[-2:]}")
-    def parse(t: Tables) -> DataFrame:
-        return answers(t).select("conv_id", "turn", X.parse_letter(F.col("response"), 4, version).alias("p")).select("conv_id", "turn", "p.letter", "p.tier")
 
+_FAILED = "['FAILED', 'FAILED']"
 
-_letters("explicit_v1", ("'FAILED'", "FAILED"))
-_letters("explicit_v2", ("x", "first_line_letter"))
 
+def _letters(version: str, otherwise: str):
+    oracle = lambda: _said() + f" SELECT conv_id, turn, p[1] AS letter, p[2] AS tier FROM (SELECT conv_id, turn, coalesce(v, {otherwise}) AS p FROM v1)"
 
-@query(ANSWERS + """ SELECT conv_id, turn, CASE WHEN conv_id % 8 IN (4, 7) THEN 'FAILED' ELSE x END AS letter,
-CASE conv_id % 8 WHEN 0 THEN 'explicit_answer' WHEN 1 THEN 'bold_letter' WHEN 2 THEN 'sole_letter' WHEN 3 THEN 'exact' WHEN 5 THEN 'is_letter' WHEN 6 THEN 'option_prefix' ELSE 'FAILED' END AS tier FROM said""")
-def letter_parse_fallback(t: Tables) -> DataFrame:
-    names = F.create_map(*(F.lit(v) for pair in zip(LETTERS, ["red stone", "blue stone", "green stone", "dark stone"], strict=True) for v in pair))
-    return answers(t).select("conv_id", "turn", X.parse_letter_fallback(F.col("response"), names).alias("p")).select("conv_id", "turn", "p.letter", "p.tier")
+    def parse(t: Tables) -> DataFrame:
+        return answers(t).select("conv_id", "turn", X.parse_letter(F.col("response"), 4, version).alias("p")).select("conv_id", "turn", "p.letter", "p.tier")
+
+    return oracle, parse
 
 
 #: What (?U)\\s is in Java, in the words of DuckDB.
@@ -49,6 +65,18 @@ WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 CLOSING = WHITE[:-1] + r".!?;:]+\z"
 
 
+for _version, _otherwise in (("explicit_v1", _FAILED), ("explicit_v2", f"CASE WHEN first <> '' THEN [first, 'first_line_letter'] ELSE {_FAILED} END")):
+    _oracle, _parse = _letters(_version, _otherwise)
+    query(_oracle(), name=f"letter_parse_{_version[-2:]}")(_parse)
+
+
+@query(_said() + f""" SELECT conv_id, turn, p[1] AS letter, p[2] AS tier FROM (SELECT conv_id, turn, CASE WHEN v IS NOT NULL THEN v WHEN len(iz) = 1 THEN [iz[1], 'is_letter'] WHEN len(iz) > 1 THEN {_FAILED}
+WHEN len(named) = 1 THEN [named[1], 'choice_name'] ELSE {_FAILED} END AS p FROM v1)""")
+def letter_parse_fallback(t: Tables) -> DataFrame:
+    names = F.create_map(*(F.lit(v) for pair in NAMES.items() for v in pair))
+    return answers(t).select("conv_id", "turn", X.parse_letter_fallback(F.col("response"), names).alias("p")).select("conv_id", "turn", "p.letter", "p.tier")
+
+
 @query(rf"""SELECT doc_id, raw, basic, regexp_replace(regexp_replace(basic, '(?i){WHITE}*\[{WHITE}*[A-D]({WHITE}*,{WHITE}*[A-D])*{WHITE}*\]{WHITE}*\z', ''), '{CLOSING}', '') AS annotation_stripped
 FROM (SELECT doc_id, raw, regexp_replace(regexp_replace(lower(raw), '{WHITE}+', ' ', 'g'), '{CLOSING}', '') AS basic
 FROM (SELECT doc_id, regexp_replace(text, '\A{WHITE}+|{WHITE}+\z', '', 'g') AS raw FROM documents))""")
@@ -222,6 +250,14 @@ def spearman(t: Tables) -> DataFrame:
     return S.spearman(x, "a", "b", "grp")
 
 
+@query(RANKED.replace("AS b FROM part", "AS b, p_partkey % 97 AS c FROM part").replace("k AS (SELECT *,", "k AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY c) + (count(*) OVER (PARTITION BY grp, c) - 1) / 2 AS rc,") + """ SELECT grp, n, CASE WHEN n > 2 AND isfinite(ab) AND isfinite(ac) AND isfinite(bc) THEN (ab - ac * bc) / sqrt(greatest(1e-12, (1 - ac * ac) * (1 - bc * bc))) END AS rho
+FROM (SELECT grp, count(*) AS n, corr(ra, rb) AS ab, corr(ra, rc) AS ac, corr(rb, rc) AS bc FROM k GROUP BY grp)""")
+def partial_spearman(t: Tables) -> DataFrame:
+    """Rank correlation of size and price of a brand's parts, their age held fixed."""
+    x = t.read("part").select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), (F.col("p_partkey") % 97).alias("c"))
+    return S.partial_spearman(x, "a", "b", "c", "grp")
+
+
 @query(RANKED + " SELECT grp, count(*) AS n, corr(a, b) AS r FROM k GROUP BY grp")
 def pearson(t: Tables) -> DataFrame:
     x = t.read("part").select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
@@ -257,7 +293,7 @@ def size_bins(t: Tables) -> DataFrame:
 
 @query("SELECT bin, count(*) AS n, min(p_retailprice) AS lower, max(p_retailprice) AS upper FROM (SELECT p_retailprice, CAST(rn > round_even(total / 4, 0) AS INTEGER) + CAST(rn > round_even(total * 2 / 4, 0) AS INTEGER) + CAST(rn > round_even(total * 3 / 4, 0) AS INTEGER) AS bin FROM (SELECT p_retailprice, row_number() OVER (ORDER BY p_retailprice) AS rn, count(*) OVER () AS total FROM part)) GROUP BY bin")
 def equal_bins(t: Tables) -> DataFrame:
-    rows = t.read("part").select("p_retailprice").withColumn("bin", S.equal_bins("p_retailprice", 4))
+    rows = equal_bins_of(t.read("part").select("p_retailprice"), "p_retailprice", 4)
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("lower"), F.max("p_retailprice").alias("upper"))
 
 
