@@ -6,9 +6,10 @@ prefix), so prefixes are indexed by shingle.  An index list is cut into blocks o
 set size and position of the shingle.  Size and position bound the overlap of any two
 sets of two blocks, so whole blocks are skipped against each other.
 
-Answers are derived from those of similar sets.  First each set is compared with one
-leader of each of its blocks, and leaders with those of the next blocks; links found are
-closed to components.  Then blocks with sets of different components are compared by
+Answers are derived from those of similar sets.  First each set is compared with the hub
+of most of its lists, the set that shares most shingles there; then with one leader of
+each of its blocks, and leaders with those of the next blocks.  Links found are closed to
+components.  Then blocks with sets of different components are compared by
 their sets' leaders alone, and components of similar leaders are joined.  What is still
 apart follows from overlap(x, y) <= overlap(leader x, leader y) + |x - leader x| +
 |y - leader y|: only sets for which that reaches the threshold are compared themselves.
@@ -240,26 +241,45 @@ def _sets_of(rows: DataFrame, read: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(spark, made.join(asked, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
+def _by_hubs(index: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m): each set b with a, the hub of most of its lists.  A list's hub is the set that shares most of its prefix."""
+    weight = heads.select("cls", F.size("tokens").alias("weight"))
+    hubs = index.join(weight, "cls").groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("h")).select("token", F.col("h.cls").alias("a"), F.col("h.n").alias("hn"))
+    votes = index.join(hubs, "token").filter(f"cls <> a and {OF} * least(n, hn) >= {LEAST} * greatest(n, hn)").groupBy("cls", "n", "a", "hn").count()
+    best = votes.groupBy("cls", "n").agg(F.max(F.struct("count", "a", "hn")).alias("v"))
+    return best.select(F.col("v.a").alias("a"), F.col("cls").alias("b"), F.col("v.hn").alias("n"), F.col("n").alias("m"))
+
+
+def _rooted(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """Index entries of the lists that hold several components, with their roots."""
+    named = index.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+    return named.join(mixed, "token")
+
+
 def _by_leaders(index: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, m): each set with the leader of each of its blocks, each leader with the one of the block before."""
-    blocks = index.groupBy("token", "n", "pos").agg(F.min("cls").alias("leader"), F.count("*").alias("size"))
-    inside = index.join(blocks.filter("size > 1").drop("size"), ["token", "n", "pos"]).filter(f"cls <> leader and {compatible('n', 'pos', 'n', 'pos')}")
+    """Pairs (a, b, n, m) of different roots: each set with the leader of each of its blocks, each leader with the one of the block before."""
+    blocks = index.groupBy("token", "n", "pos").agg(F.min(F.struct("cls", "root")).alias("l"), F.count("*").alias("size")).select("token", "n", "pos", "size", F.col("l.cls").alias("leader"), F.col("l.root").alias("lr"))
+    inside = index.join(blocks.filter("size > 1").drop("size"), ["token", "n", "pos"]).filter(f"root <> lr and {compatible('n', 'pos', 'n', 'pos')}")
     order = Window.partitionBy("token").orderBy("n", "pos")
-    lists = blocks.select("*", *(F.lag(c).over(order).alias(f"last_{c}") for c in ("leader", "n", "pos")))
-    beside = lists.filter(f"leader <> last_leader and {compatible('n', 'pos', 'last_n', 'last_pos')}")
+    lists = blocks.select("*", *(F.lag(c).over(order).alias(f"last_{c}") for c in ("leader", "lr", "n", "pos")))
+    beside = lists.filter(f"lr <> last_lr and {compatible('n', 'pos', 'last_n', 'last_pos')}")
     pairs = inside.select(F.col("leader").alias("a"), F.col("cls").alias("b"), "n", F.col("n").alias("m"))
     return pairs.unionByName(beside.select(F.col("last_leader").alias("a"), F.col("leader").alias("b"), F.col("last_n").alias("n"), F.col("n").alias("m"))).distinct()
 
 
 def _blocks_apart(index: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written tables: entries of lists with several components, each with its set's leader and d, the shingles that the leader lacks; and pairs of their blocks that can't be skipped."""
+    """Written tables: entries of lists with several components, each with its set's leader and d, the shingles that the leader lacks; and pairs of their blocks that can't be skipped.
+
+    A set's leader is, of itself and the sets that it was found to be similar to, the one with most links.
+    """
     spark = index.sparkSession
     ends = edges.select(F.col("a").alias("cls"), F.col("b").alias("leader"), (F.col("n") - F.col("both")).alias("d")).unionByName(edges.select(F.col("b").alias("cls"), F.col("a").alias("leader"), (F.col("m") - F.col("both")).alias("d")))
-    led = ends.filter("leader < cls").groupBy("cls").agg(F.min(F.struct("leader", "d")).alias("l")).select("cls", "l.leader", "l.d")
-    named = index.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").join(led, "cls", "left")
-    named = written(spark, named.select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"), F.coalesce("leader", "cls").alias("leader"), F.coalesce("d", F.lit(0)).alias("d")))
-    mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    entries = written(spark, named.join(mixed, "token"))
+    ends = ends.unionByName(ends.select("cls", F.col("cls").alias("leader"), F.lit(0).cast("long").alias("d")).distinct())
+    degree = ends.groupBy("leader").agg(F.count("*").alias("degree"))
+    led = ends.join(degree, "leader").groupBy("cls").agg(F.max(F.struct("degree", (-F.col("d")).alias("near"), "leader")).alias("l")).select("cls", "l.leader", (-F.col("l.near")).alias("d"))
+    named = _rooted(index, roots).join(led, "cls", "left")
+    entries = written(spark, named.select("token", "cls", "n", "pos", "root", F.coalesce("leader", "cls").alias("leader"), F.coalesce("d", F.lit(0)).alias("d")))
     blocks = entries.groupBy("token", "n", "pos", "root", "leader").agg(F.max("d").alias("d"))
     x = blocks.withColumnsRenamed({"root": "xr", "leader": "a", "d": "xd"})
     y = blocks.withColumnsRenamed({"n": "m", "pos": "qos", "root": "yr", "leader": "b", "d": "yd"})
@@ -283,9 +303,12 @@ def links(rows: DataFrame, read: DataFrame) -> DataFrame:
     heads = written(spark, index.groupBy("cls").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n")))
     read = read.filter("token is null")
 
-    pairs = written(spark, within_reach(_by_leaders(index), heads, needed("n", "m")))
-    edges = written(spark, similar(pairs, _sets_of(rows, read, pairs)))
-    roots = _components(edges.select("a", "b"))
+    pairs = written(spark, within_reach(_by_hubs(index, heads), heads, needed("n", "m")))
+    hubs = written(spark, similar(pairs, _sets_of(rows, read, pairs)))
+    roots = _components(hubs)
+    pairs = written(spark, within_reach(_by_leaders(_rooted(index, roots)), heads, needed("n", "m")))
+    edges = written(spark, similar(pairs, _sets_of(rows, read, pairs)).unionByName(hubs))
+    roots = _components(edges)
 
     entries, apart = _blocks_apart(index, edges, roots)
     # For each pair of leaders, how much they must have in common for any of their sets to be similar.
