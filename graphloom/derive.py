@@ -6,7 +6,7 @@ order are edges.  Orders give outcomes of arms over items.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +78,13 @@ class Tables:
 
         return merge_nodes(self.choice_node)
 
+    @cached_property
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """node and edge, written once for queries that read them several times."""
+        from .sources.shared import written
+
+        return written(self.spark, self.node), written(self.spark, self.edge)
+
     @property
     def reply(self) -> DataFrame:
         """Whole texts of documents with markup in place of some common words: doc_id, text."""

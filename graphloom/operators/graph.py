@@ -69,18 +69,18 @@ def frontier_distance(edge: DataFrame, sources: DataFrame, limit: int | None = N
 
     One join and one distinct a level; stops when a level adds nothing.  Neighbours of a
     level lie in it, in the one before or in the next, so only two levels are looked up.
-    Levels are checkpointed: plans stay short and lost executors cost one level.
+    Levels are written: plans stay short, sizes are known and lost executors cost one level.
     """
-    from ..sources.shared import checkpointed
+    from ..sources.shared import written
 
     spark = edge.sparkSession
-    adj = checkpointed(spark, adjacency(edge).filter("cid <> nbr"))
-    levels = [checkpointed(spark, sources.select("stmt", "cid").distinct())]
+    adj = written(spark, adjacency(edge).filter("cid <> nbr"))
+    levels = [written(spark, sources.select("stmt", "cid").distinct())]
     while limit is None or len(levels) <= limit:
         step = levels[-1].join(adj, ["stmt", "cid"]).select("stmt", F.col("nbr").alias("cid")).distinct()
         for known in levels[-2:]:
             step = step.join(known, ["stmt", "cid"], "left_anti")
-        step = checkpointed(spark, step)
+        step = written(spark, step)
         if step.isEmpty():
             break
         levels.append(step)
@@ -122,7 +122,16 @@ def edge_budget(pairs: DataFrame, life: DataFrame, limit: int) -> DataFrame:
 
 
 def boxes_overlap(boxes: DataFrame) -> DataFrame:
-    """Pairs of boxes (graph, id, x0, x1, y0, y1) of one graph whose insides meet."""
-    a, b = boxes.alias("a"), boxes.alias("b")
+    """Pairs of boxes (graph, id, x0, x1, y0, y1) of one graph whose insides meet.
+
+    Boxes are laid on a grid as wide and high as the largest box, so each lies in four
+    cells at most and meets others there; a pair counts in the cell of its common corner.
+    """
+    size = boxes.agg(F.coalesce(F.nullif(F.max(F.col("x1") - F.col("x0")), F.lit(0)), F.lit(1)).cast("double").alias("w"), F.coalesce(F.nullif(F.max(F.col("y1") - F.col("y0")), F.lit(0)), F.lit(1)).cast("double").alias("h"))  # one row
+    cell = lambda at, side: F.floor(F.col(at) / F.col(side)).cast("long")
+    laid = boxes.join(F.broadcast(size)).withColumn("cx", F.explode(F.sequence(cell("x0", "w"), cell("x1", "w")))).withColumn("cy", F.explode(F.sequence(cell("y0", "h"), cell("y1", "h"))))
+    a, b = laid.alias("a"), laid.alias("b")
     meet = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1"))
-    return a.join(b, (F.col("a.graph") == F.col("b.graph")) & (F.col("a.id") < F.col("b.id")) & meet).select("a.graph", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    here = (F.col("a.cx") == F.floor(F.greatest("a.x0", "b.x0") / F.col("a.w"))) & (F.col("a.cy") == F.floor(F.greatest("a.y0", "b.y0") / F.col("a.h")))
+    same = (F.col("a.graph") == F.col("b.graph")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    return a.join(b, same & (F.col("a.id") < F.col("b.id")) & meet & here).select("a.graph", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))

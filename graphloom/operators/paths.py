@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from .graph import adjacency
 
 
 def shortest(pairs: list[tuple[int, int]], source: int, target: int, cap: int = MAX_SHORTEST_PATHS) -> list[list[int]]:
-    """Paths in sorted order; of more than cap, those found first walking back from the target over smallest parents."""
+    """Paths in sorted order, none without pairs; of more than cap, those found first walking back from the target over smallest parents."""
     near: dict[int, set[int]] = defaultdict(set)
     for a, b in pairs:
         near[a].add(b)
@@ -44,20 +45,15 @@ def shortest_paths(edge: DataFrame, ends: DataFrame, cap: int = MAX_SHORTEST_PAT
     A statement's graph is one question's: its pairs fit one task.
     """
     schema = "stmt long, source int, target int, distance int, n_paths int, first_path array<int>, truncated boolean"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.iloc[0]
-        paths = shortest([(p["cid"], p["nbr"]) for p in g["pairs"]], int(g["source"]), int(g["target"]), cap) if g["pairs"] is not None else []
-        row = [g["stmt"], g["source"], g["target"], len(paths[0]) - 1 if paths else None, len(paths), [int(x) for x in paths[0]] if paths else None, len(paths) >= cap]
-        return pd.DataFrame([row], columns=["stmt", "source", "target", "distance", "n_paths", "first_path", "truncated"]).astype({"distance": "Int32"})
-
     pairs = adjacency(edge).filter("cid < nbr").groupBy("stmt").agg(F.collect_list(F.struct("cid", "nbr")).alias("pairs"))
-    rows = ends.join(pairs, "stmt", "left").select(F.col("stmt").cast("long").alias("stmt"), "source", "target", "pairs")
+    rows = ends.join(pairs, "stmt", "left").select(F.col("stmt").cast("long").alias("stmt"), F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"), "pairs")
 
-    def each(batches):
-        for pdf in batches:
-            out = [run(pdf.iloc[i : i + 1]) for i in range(len(pdf))]
-            if out:
-                yield pd.concat(out)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            source, target = b["source"].to_pylist(), b["target"].to_pylist()
+            found = [shortest([(p["cid"], p["nbr"]) for p in own or ()], x, y, cap) for own, x, y in zip(b["pairs"].to_pylist(), source, target, strict=True)]
+            first = [f[0] if f else None for f in found]
+            made = [pa.array([len(f) - 1 if f else None for f in first], pa.int32()), pa.array([len(f) for f in found], pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array([len(f) >= cap for f in found])]
+            yield pa.RecordBatch.from_arrays([b["stmt"], b["source"], b["target"], *made], names=["stmt", "source", "target", "distance", "n_paths", "first_path", "truncated"])
 
-    return rows.mapInPandas(each, schema)
+    return rows.mapInArrow(each, schema)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import written
 from .graph import added_types, adjacency, dedupe_pairs, edge_budget, flags, lifelines, neighbor_count
 
 RULES = ("qa-bridge", "core-neighbor", "any", "none")
@@ -112,15 +112,15 @@ def prune(node: DataFrame, edge: DataFrame, relation: DataFrame, *, max_nodes: i
     """kept nodes (stmt, cid, q, a, connected), edges, and counters per statement."""
     spark = edge.sparkSession
     # Merged graphs, the kept nodes and the edges among them are each used several times.
-    node, edge = checkpointed(spark, node), checkpointed(spark, edge)
-    kept_core = checkpointed(spark, core(node, edge, max_nodes, policy))
-    added = checkpointed(spark, chosen_fillers(node, edge, rule, max_nodes, policy, max_bridges))
+    node, edge = written(spark, node), written(spark, edge)
+    kept_core = written(spark, core(node, edge, max_nodes, policy))
+    added = written(spark, chosen_fillers(node, edge, rule, max_nodes, policy, max_bridges))
     kept = kept_core.select("stmt", "cid").unionByName(added.select("stmt", "cid"))
-    pairs = checkpointed(spark, dedupe_pairs(induced(edge, kept), relation))
+    pairs = written(spark, dedupe_pairs(induced(edge, kept), relation))
     life = lifelines(pairs, kept_core) if use_lifelines else lifelines(pairs, kept_core).filter("false")
     before = pairs.groupBy("stmt").agg(F.count("*").alias("edges_before"))
     capped = degree_cap(pairs, life, kept_core, max_degree, use_lifelines).drop("life")
-    edges = checkpointed(spark, edge_budget(capped, life, max_edges).select("stmt", "src", "rel", "tgt"))
+    edges = written(spark, edge_budget(capped, life, max_edges).select("stmt", "src", "rel", "tgt"))
     ends = edges.select("stmt", F.explode(F.array("src", "tgt")).alias("cid")).distinct().withColumn("connected", F.lit(True))
     nodes = kept.join(flags(node), ["stmt", "cid"]).join(ends, ["stmt", "cid"], "left").withColumn("connected", F.coalesce("connected", F.lit(False)))
     info = (

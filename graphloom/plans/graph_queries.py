@@ -72,7 +72,7 @@ def decode_coo(t: Tables) -> DataFrame:
 def _filler(rule: str, where: str, order: str):
     @query(NBRS + FILL + f" SELECT stmt, cid, core_nbrs, nbrs, CAST(row_number() OVER (PARTITION BY stmt ORDER BY {order}) AS INTEGER) AS rank FROM cand WHERE {where}", name=f"filler_candidates_{rule.replace('-', '_')}")
     def candidates(t: Tables) -> DataFrame:
-        return P.fillers(t.node, t.edge, rule)
+        return P.fillers(*t.graph, rule)
 
 
 _filler("qa-bridge", "kind = 'q_and_a'", "core_nbrs DESC, cid")
@@ -98,12 +98,12 @@ added AS (SELECT stmt, cid, core_nbrs, rank FROM (
 
 @query(CORE + FILL + ROOM + " SELECT stmt, cid, core_nbrs, CAST(rank AS INTEGER) AS rank FROM added")
 def filler_budget(t: Tables) -> DataFrame:
-    return P.chosen_fillers(t.node, t.edge, "core-neighbor", 6)
+    return P.chosen_fillers(*t.graph, "core-neighbor", 6)
 
 
 @query(CORE + FILL + " SELECT stmt, cid, core_nbrs, rank FROM (SELECT stmt, cid, core_nbrs, CAST(row_number() OVER (PARTITION BY stmt ORDER BY core_nbrs DESC, cid) AS INTEGER) AS rank FROM cand WHERE kind <> 'neither') LEFT JOIN (SELECT DISTINCT stmt, core_size FROM core) USING (stmt) WHERE rank <= least(2, greatest(0, 5 - coalesce(core_size, 0)))")
 def adaptive_cap(t: Tables) -> DataFrame:
-    return P.chosen_fillers(t.node, t.edge, "core-neighbor", 5, "keep", max_bridges=2)
+    return P.chosen_fillers(*t.graph, "core-neighbor", 5, "keep", max_bridges=2)
 
 
 @query(PAIRS.format(edges="edge", core="flag") + " SELECT stmt, src, rel, tgt, priority FROM pairs")
@@ -289,9 +289,10 @@ opt AS (SELECT s.stmt, letter, coalesce(max(degree), 0) AS degree FROM (SELECT D
 
 def option_table(t: Tables) -> DataFrame:
     """Highest degree of each option's nodes, 0 where it has none."""
-    members = t.node.select("stmt", "cid", F.explode("in_choices").alias("letter"))
-    best = members.join(G.edge_degree(t.edge), ["stmt", "cid"]).groupBy("stmt", "letter").agg(F.max("degree").alias("degree"))
-    grid = t.node.select("stmt").distinct().withColumn("letter", F.explode(F.array(*map(F.lit, "ABCD"))))
+    node, edge = t.graph
+    members = node.select("stmt", "cid", F.explode("in_choices").alias("letter"))
+    best = members.join(G.edge_degree(edge), ["stmt", "cid"]).groupBy("stmt", "letter").agg(F.max("degree").alias("degree"))
+    grid = node.select("stmt").distinct().withColumn("letter", F.explode(F.array(*map(F.lit, "ABCD"))))
     return grid.join(best, ["stmt", "letter"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
 

@@ -133,10 +133,11 @@ f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * r
 
 
 def scored_sets(t: Tables) -> DataFrame:
-    gold = G.flags(t.node).filter("q or a").groupBy("stmt").agg(F.collect_set("cid").alias("gold"))
-    pred = G.adjacency(t.edge).filter("nbr % 3 > 0 and cid % 5 = 0").groupBy("stmt").agg(F.collect_set("nbr").alias("pred"))
+    node, edge = t.graph
+    gold = G.flags(node).filter("q or a").groupBy("stmt").agg(F.collect_set("cid").alias("gold"))
+    pred = G.adjacency(edge).filter("nbr % 3 > 0 and cid % 5 = 0").groupBy("stmt").agg(F.collect_set("nbr").alias("pred"))
     none = F.array().cast("array<int>")
-    rows = t.node.select("stmt").distinct().join(gold, "stmt", "left").join(pred, "stmt", "left")
+    rows = node.select("stmt").distinct().join(gold, "stmt", "left").join(pred, "stmt", "left")
     return rows.select("stmt", X.set_scores(F.coalesce("gold", none), F.coalesce("pred", none)).alias("s")).select("stmt", "s.*")
 
 
@@ -154,7 +155,7 @@ def micro_macro_f1(t: Tables) -> DataFrame:
 
 
 def _ends(t: Tables) -> DataFrame:
-    f = G.flags(t.node).groupBy("stmt").agg(F.min(F.when(F.col("q"), F.col("cid"))).alias("source"), F.min(F.when(F.col("a"), F.col("cid"))).alias("target"))
+    f = G.flags(t.graph[0]).groupBy("stmt").agg(F.min(F.when(F.col("q"), F.col("cid"))).alias("source"), F.min(F.when(F.col("a"), F.col("cid"))).alias("target"))
     return f.filter("source is not null and target is not null")
 
 
@@ -168,7 +169,7 @@ done AS (SELECT ways.stmt, min(path) AS path, count(*) AS n FROM ways JOIN ends
 SELECT ends.stmt, source, target, CAST(len(path) - 1 AS INTEGER) AS distance, CAST(coalesce(n, 0) AS INTEGER) AS n_paths, coalesce(array_to_string(path, ','), '') AS first_path, coalesce(n, 0) >= 32 AS truncated
 FROM ends LEFT JOIN done USING (stmt)""")
 def shortest_paths(t: Tables) -> DataFrame:
-    return paths_between(t.edge, _ends(t)).withColumn("first_path", F.coalesce(F.array_join("first_path", ","), F.lit("")))
+    return paths_between(t.graph[1], _ends(t)).withColumn("first_path", F.coalesce(F.array_join("first_path", ","), F.lit("")))
 
 
 # --- outcomes --------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,10 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder."""
     shared_path(spark)
     return df.checkpoint(eager=True)
+
+
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows of df as a table in the shared folder, written once: short plans, and sizes that Spark knows."""
+    path = f"{shared_path(spark)}/graphloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
