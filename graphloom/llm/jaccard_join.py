@@ -47,7 +47,7 @@ REPEATS = 8
 #: Tasks over which a common shingle's entries are dealt.
 DEALT = 64
 #: Bits of the filter of documents whose sets are made anew; beyond that many it lets more through, which a join drops.
-FILTER = 1 << 24
+FILTER, PART = 1 << 24, 1 << 15
 SHINGLE, SEED = 5, 42
 #: Odd factors, by which the hashes of a shingle's words are weighed.
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,18 +166,12 @@ def _index(common: np.ndarray):
     return run
 
 
-def _sets(wanted: np.ndarray):
-    """cls, grams of the rows whose bit is set in the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for b in batches:
-            bit = b["bit"].to_numpy()
-            for i in np.flatnonzero(wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).tolist():
-                grams = shingles(b["text"][i].as_py(), known)
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(grams)]), pa.array([grams.view(np.int64)], pa.list_(pa.int64()))], names=["cls", "grams"])
-
-    return run
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Hashes()
+    for b in batches:
+        for t in b["text"]:
+            grams = shingles(t.as_py(), known)
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(grams)]), pa.array([grams.view(np.int64)], pa.list_(pa.int64()))], names=["cls", "grams"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,11 +227,10 @@ def _sets_of(rows: DataFrame, read: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     asked = written(spark, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
     bits = read.join(asked, "cls").groupBy("cls").agg(F.min(_bit("doc_id", F.col("hash"))).alias("bit"))
-    parts = bits.groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).toArrow()  # 2 MB at most
-    wanted = np.zeros(FILTER // 8, np.uint8)
-    for part, some in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
-        wanted[part * 4096 : part * 4096 + len(some)] = np.frombuffer(some, np.uint8)
-    made = rows.select(_bit("doc_id", text_hash("text")).alias("bit"), "text").mapInArrow(_sets(wanted), "cls long, grams array<long>")
+    parts = bits.groupBy(F.floor(F.col("bit") / PART).alias("part")).agg(F.expr(f"bitmap_construct_agg(bit % {PART})").alias("bits"))
+    texts = rows.select(_bit("doc_id", text_hash("text")).alias("bit"), "text").withColumn("part", F.floor(F.col("bit") / PART)).join(F.broadcast(parts), "part")  # 2 MB at most
+    byte = f"cast(conv(hex(substring(bits, (bit % {PART}) div 8 + 1, 1)), 16, 10) as int)"
+    made = texts.filter(f"shiftright({byte}, cast(bit % 8 as int)) % 2 = 1").select("text").mapInArrow(_sets, "cls long, grams array<long>")
     return written(spark, made.join(asked, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
