@@ -84,11 +84,14 @@ _KEPT = r"\[[^\[\]()]*\]"
 _FULL = rf"{SPACE}*(?:[^{SPACE[1:-1]},()\[\]]|{_KEPT})(?:[^,()\[\]]|{_KEPT})*"
 #: A bracketed group of three fields, none of them blank; commas inside [...] do not count.
 TRIPLE = rf"\({_FULL},{_FULL},{_FULL}\)"
+#: The same without a way back, of which a repeated group needs none here: its alternatives start with different signs and
+#: none of them with the sign that follows.  Java's groups that may go back take stack for every sign of a text.
+_TRIPLE_ONCE = TRIPLE.replace(")*", ")*+")
 
 
 def holds_triple(line: Column) -> Column:
     """Whether a line holds a bracketed group of three fields, none of them blank."""
-    return line.rlike(TRIPLE)
+    return line.rlike(_TRIPLE_ONCE)
 
 
 # --- scanners --------------------------------------------------------------------------
@@ -225,8 +228,8 @@ def format_diagnostics(c: Column) -> Column:
             one_line = ~tail.contains("\n")
             rows = lines(payload)
             number = body.rlike(r"\A[-+]?[0-9]+\z")
-            pair = body.rlike(rf"(?s)\A(?=[^,]*[^, \"'“”])(?:[^,\[\]]|\[[^\[\]]*\])*,{SPACE}*[-+]?[0-9]+\z") & one_line
-            triples = payload.rlike(r"\A[ \t]*(?:\n|\z)") & (F.size(rows) > 0) & F.forall(rows, lambda x: x.rlike(rf"\A{TRIPLE}\z"))
+            pair = body.rlike(rf"(?s)\A(?=[^,]*[^, \"'“”])(?:[^,\[\]]|\[[^\[\]]*\])*+,{SPACE}*[-+]?[0-9]+\z") & one_line
+            triples = payload.rlike(r"\A[ \t]*(?:\n|\z)") & (F.size(rows) > 0) & F.forall(rows, lambda x: x.rlike(rf"\A{_TRIPLE_ONCE}\z"))
             yes = lambda x: F.coalesce(has & x, F.lit(False))
             return F.struct(has.alias("marker"), yes(number).alias("number"), yes(pair).alias("pair"), yes(one_line & (body != "")).alias("items"), yes(triples).alias("triples"), clean.rlike(rf"(?iu){MARKUP_DUMP}").alias("markup_dump"))
 
