@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +58,103 @@ def near_matches(left: DataFrame, right: DataFrame, by: list[str], distance: int
     return pairs.filter("distance >= 0").distinct()
 
 
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Code points of each word in a row, zeros behind."""
+    out = np.zeros((len(words), width), np.uint32)
+    for i, w in enumerate(words):
+        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _signs(codes: np.ndarray) -> np.ndarray:
+    """One bit for each kind of sign that a word holds."""
+    return np.bitwise_or.reduce(np.where(codes > 0, np.left_shift(np.uint64(1), (codes & 63).astype(np.uint64)), np.uint64(0)), axis=1)
+
+
+def _edits(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, distance: int) -> np.ndarray:
+    """Edit distance of x[i] and y[i], whose lengths differ by no more than distance; more than distance if it is more."""
+    far, band = distance + 1, range(-distance, distance + 1)
+    row = [np.full(len(x), k if k >= 0 else far, np.int32) for k in band] + [np.full(len(x), far, np.int32)]
+    at = ny - nx + distance
+    out = np.where(nx == 0, np.stack(row)[at, np.arange(len(x))], far)
+    for i in range(1, int(nx.max(initial=0)) + 1):
+        new: list[np.ndarray] = []
+        for s, k in enumerate(band):
+            j = i + k
+            if j < 0:
+                cell = np.full(len(x), far, np.int32)
+            elif j == 0:
+                cell = np.full(len(x), i, np.int32)
+            else:
+                cell = np.minimum(row[s] + (x[:, i - 1] != y[:, j - 1]), row[s + 1] + 1)
+            new.append(np.minimum(cell, new[-1] + 1) if new else cell)
+        row = [*new, row[-1]]
+        done = nx == i
+        if done.any():
+            out[done] = np.stack(new)[at[done], np.flatnonzero(done)]
+    return out
+
+
+#: Words up to so many letters are compared together, longer ones with those of about their length.
+SHORT = 32
+
+
+def close_words(left: list[str], right: list[str], distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in left and right of words at most so many edits apart, and how many.
+
+    An edit takes away one kind of sign and brings one at most, so only words whose kinds
+    differ by no more are compared.
+    """
+    na, nb = np.array([len(w) for w in left], np.int32), np.array([len(w) for w in right], np.int32)
+    found = [(np.zeros(0, np.int64),) * 3]
+    groups = [(na <= SHORT, nb <= SHORT + distance)] + [(na == n, abs(nb - n) <= distance) for n in np.unique(na[na > SHORT])]
+    for a, b in ((np.flatnonzero(u), np.flatnonzero(v)) for u, v in groups):
+        if not len(a) or not len(b):
+            continue
+        width = int(na[a].max())
+        b = b[nb[b] <= width + distance]
+        x, y = _codes([left[i] for i in a], width), _codes([right[i] for i in b], width + distance)
+        sx, sy = _signs(x), _signs(y)
+        step = max(1, (1 << 21) // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            p, q = sx[lo : lo + step, None], sy[None, :]
+            fits = (np.bitwise_count(p & ~q) <= distance) & (np.bitwise_count(q & ~p) <= distance) & (abs(na[a[lo : lo + step], None] - nb[None, b]) <= distance)
+            i, j = np.nonzero(fits)
+            for at in range(0, len(i), 1 << 18):
+                u, v = i[at : at + (1 << 18)] + lo, j[at : at + (1 << 18)]
+                d = _edits(x[u], na[a[u]], y[v], nb[b[v]], distance)
+                near = d <= distance
+                found.append((a[u[near]], b[v[near]], d[near]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def near_in_rows(rows: DataFrame, key: str, left: str, right: str, distance: int = 2) -> DataFrame:
+    """key, a, b, distance, place: strings a of the array left and strings b of the array right of the same row that are at most so many edits apart.
+
+    place counts the likes of a from 1, by (distance, b).  A row is one text's strings and
+    stays where it is; arrays hold no nulls and no string twice.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                l, r = batch["l"][at].as_py(), sorted(batch["r"][at].as_py())
+                a, b, d = close_words(l, r, distance)
+                if not len(a):
+                    continue
+                order = np.lexsort((b, d, a))
+                a, b, d = a[order], b[order], d[order]
+                first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) + 1
+                own = pa.array([batch["k"][at].as_py()], batch["k"].type).take(pa.array(np.zeros(len(a), np.int64)))
+                words = [pa.array(l, pa.string()).take(pa.array(a)), pa.array(r, pa.string()).take(pa.array(b))]
+                yield pa.RecordBatch.from_arrays([own, *words, pa.array(d.astype(np.int32)), pa.array(place.astype(np.int32))], names=["k", "a", "b", "distance", "place"])
+
+    some = rows.select(F.col(key).alias("k"), F.col(left).alias("l"), F.col(right).alias("r")).filter("size(l) > 0 and size(r) > 0")
+    return some.mapInArrow(each, f"k {kind}, a string, b string, distance int, place int").withColumnRenamed("k", key)
+
+
 def near_pairs(words: DataFrame, word: str, distance: int = 2) -> DataFrame:
     """a, b (a < b), distance: all pairs of distinct strings at most so many edits apart; found as near_matches are."""
     each = words.select(F.col(word).alias("w")).filter("w is not null").distinct()

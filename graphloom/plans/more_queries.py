@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..derive import Tables
 from ..functions import text as X
 from ..operators import graph as G
-from ..operators.similar import near_matches
+from ..operators.similar import near_in_rows
 from ..sources.jsonl import ordered_digest
 from ..vocab import relation_table
 from .base import query
@@ -101,11 +101,9 @@ def near_duplicate_evidence(t: Tables) -> DataFrame:
     """Names without an exact match beside gold names of the same row within two edits, nearest first: the words of a text's first half and those of its second."""
     words = F.filter(F.split("text", r"[\x09-\x0d ]+"), lambda x: x != "")
     rows = t.read("documents").select("doc_id", words.alias("ws")).withColumn("half", F.floor(F.size("ws") / 2).cast("int"))
-    rows = rows.select("doc_id", F.slice("ws", F.lit(1), F.col("half")).alias("p"), F.array_distinct(F.slice("ws", F.col("half") + 1, F.size("ws"))).alias("g"))
-    predicted = rows.select("doc_id", F.explode(F.array_except("p", "g")).alias("a"))
-    gold = rows.select("doc_id", F.explode("g").alias("b"))
-    pairs = near_matches(predicted, gold, ["doc_id"]).withColumnsRenamed({"a": "predicted", "b": "gold"})
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "predicted").orderBy("distance", "gold")))
+    rows = rows.select("doc_id", F.array_distinct(F.slice("ws", F.lit(1), F.col("half"))).alias("p"), F.array_distinct(F.slice("ws", F.col("half") + 1, F.size("ws"))).alias("g"))
+    rows = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"), F.array_distinct(F.flatten(F.collect_list("g"))).alias("g"))
+    return near_in_rows(rows.select("doc_id", F.array_except("p", "g").alias("p"), "g"), "doc_id", "p", "g").withColumnsRenamed({"a": "predicted", "b": "gold"})
 
 
 @query("SELECT a.o_orderkey, a.c = b.c AS same_head, len(a.t) >= 4 AS long_enough FROM (SELECT o_orderkey, string_split(o_orderpriority, '')[1:4] AS c, string_split(o_orderpriority, '') AS t FROM orders) a JOIN (SELECT o_orderkey, string_split('1-URGENT', '')[1:4] AS c FROM orders WHERE o_orderkey % 5 = 0) b USING (o_orderkey)")
