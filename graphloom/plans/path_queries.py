@@ -42,11 +42,7 @@ scored AS (SELECT w.k, len(w.nodes) AS n_nodes, coalesce(exact, false) AS exact,
 
 
 def scored_walks(t: Tables) -> DataFrame:
-    w = walks(t)
-    every = w.groupBy("stmt").agg(F.array_sort(F.collect_list(F.struct("k", "nodes"))).alias("every"))
-    gold = F.transform(F.filter("every", lambda s: s["k"] != F.col("k")), lambda s: s["nodes"])
-    rows = w.join(every, "stmt").select("k", "nodes", gold.alias("gold"))
-    return rows.select("k", F.size("nodes").cast("long").alias("n_nodes"), P.against_paths(F.col("nodes"), F.col("gold"), F.size(F.get("gold", F.lit(0))) - 1).alias("s")).select("k", "n_nodes", "s.*")
+    return P.score_groups(walks(t))
 
 
 @query(_SCORED + " SELECT k AS o_orderkey, exact, hop_correct, CAST(best AS INTEGER) AS best, overlap_f1 FROM scored")
