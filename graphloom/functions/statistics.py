@@ -79,8 +79,69 @@ def bootstrap_mean(df: DataFrame, by: str, value: str, draws: int = 10_000, seed
     return df.select(by, value).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, mean double, ci_low double, ci_high double")
 
 
-def permutation_p(df: DataFrame, by: str, value: str, high: str, draws: int = 10_000, seed: int = 13) -> DataFrame:
-    """Two-sided p of the difference of means between high and other rows, (hits + 1) / (draws + 1); null if a side is empty."""
+#: Rows of a group that one task draws from, on average.
+SHARD = 20_000
+
+
+def permutation_p(df: DataFrame, by: str, value: str, high: str, draws: int = 10_000, seed: int = 13, shard: int = SHARD) -> DataFrame:
+    """Two-sided p of the difference of means between high and other rows, (hits + 1) / (draws + 1); null if a side is empty.
+
+    Groups of more than shard rows are cut by hash of the value.  A permutation's first rows
+    are a random subset: how many of each shard are in it is drawn from the multivariate
+    hypergeometric distribution, and then each shard draws so many of its own rows.
+    df is read more than once and so must be a table or cheap.
+    """
+    from ..sources.shared import written
+
+    kind = dict(df.dtypes)[by]
+    rows = written(df.sparkSession, df.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.col(high).alias("h")))
+    sizes = rows.groupBy(F.col("g").alias("own")).agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
+    same = F.col("g").eqNullSafe(F.col("own"))
+    cut = rows.join(sizes.filter("shards > 1"), same).select("g", "v", "h", F.pmod(F.xxhash64("v"), F.col("shards")).alias("shard"))
+    # One row a value: a value that many rows share is drawn by its count.
+    cells = written(df.sparkSession, cut.groupBy("g", "shard", "v").agg(F.count("*").alias("n"), F.count_if("h").alias("top")))
+    small = rows.join(sizes.filter("shards = 1"), same).select("g", "v", "h")
+    whole = small.withColumnsRenamed({"g": by, "v": value, "h": high}).groupBy(by).applyInPandas(_permuted(by, value, high, draws, seed), f"{by} {kind}, n long, p double")
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        rng = np.random.default_rng(_seed(seed, group["g"].iloc[0]))
+        drawn = rng.multivariate_hypergeometric(group["n"].to_numpy(np.int64), int(group["top"].sum()), draws, method="marginals")
+        return pd.DataFrame({"g": group["g"], "shard": group["shard"], "take": [drawn[:, i].tolist() for i in range(len(group))]})
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("v")
+        v, n, g, at = group["v"].to_numpy(float), group["n"].to_numpy(np.int64), group["g"].iloc[0], group["shard"].iloc[0]
+        rng, take = np.random.default_rng(_seed(seed, f"{g}:{at}")), next(x for x in group["take"] if x is not None)
+        if n.sum() > 8 * len(v):  # few values, each with its count
+            sums = [float(rng.multivariate_hypergeometric(n, k, method="marginals") @ v) for k in take]
+        else:
+            each = np.repeat(v, n)
+            sums = [float(rng.permutation(each)[:k].sum()) for k in take]
+        return pd.DataFrame({"g": [g], "shard": [at], "n": [int(n.sum())], "total": [float(v @ n)], "top": [int(group["top"].sum())], "seen": [float(v @ group["top"].to_numpy(float))], "sums": [sums]})
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        n, top, total = int(group["n"].sum()), int(group["top"].sum()), float(group["total"].sum())
+        p = None
+        if 0 < top < n:
+            gap = lambda s: abs(s / top - (total - s) / (n - top))
+            hits = int((gap(np.sum(np.stack(group["sums"].to_list()), axis=0)) >= gap(float(group["seen"].sum())) - 1e-12).sum())
+            p = (hits + 1) / (draws + 1)
+        return pd.DataFrame({by: [group["g"].iloc[0]], "n": [n], "p": pd.array([p], dtype="Float64")})
+
+    shards = cells.groupBy("g", "shard").agg(F.sum("n").alias("n"), F.sum("top").alias("top"))
+    taken = shards.groupBy("g").applyInPandas(deal, f"g {kind}, shard long, take array<long>")
+    take = taken.select(F.col("g").alias("tg"), F.col("shard").alias("ts"), "take")
+    # A shard's list of takes stands in its first row only.
+    ranked = cells.withColumn("no", F.row_number().over(Window.partitionBy("g", "shard").orderBy("v")))
+    asked = ranked.join(take, F.col("g").eqNullSafe(F.col("tg")) & (F.col("shard") == F.col("ts")) & (F.col("no") == 1), "left").select("g", "shard", "v", "n", "top", "take")
+    summed = asked.groupBy("g", "shard").applyInPandas(draw, f"g {kind}, shard long, n long, total double, top long, seen double, sums array<double>")
+    return whole.unionByName(summed.groupBy("g").applyInPandas(decide, f"{by} {kind}, n long, p double"))
+
+
+def _permuted(by: str, value: str, high: str, draws: int, seed: int):
+    """The test of one group that fits a task."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([high, value])
@@ -97,5 +158,4 @@ def permutation_p(df: DataFrame, by: str, value: str, high: str, draws: int = 10
             p = (hits + 1) / (draws + 1)
         return pd.DataFrame({by: [group[by].iloc[0]], "n": [len(v)], "p": pd.array([p], dtype="Float64")})
 
-    kind = dict(df.dtypes)[by]
-    return df.select(by, value, high).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, p double")
+    return run
