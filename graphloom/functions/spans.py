@@ -165,7 +165,13 @@ def relation_mentions(rows: DataFrame, key: str, text: str) -> DataFrame:
     Places (from 0, in code points) come from the gaps between matches; a match is
     inside another if one that starts no later stops no sooner.  Only matches are shuffled.
     """
-    every = rows.select(key, F.explode(let(F.translate(F.col(text), *_FOLD), lambda x: F.concat(*(_found(x, k) for k in RELATION_KEYS)))).alias("m")).select(key, "m.*")
+    none = F.array().cast("array<struct<relation:string,no:int,gap:int,size:int>>")
+
+    def found(x: Column) -> Column:
+        # A relation can only be named where its letters follow each other once all else is left out.
+        return let(F.regexp_replace(x, "[^a-z]+", ""), lambda bare: F.concat(*(F.when(F.contains(bare, F.lit(k)), _found(x, k)).otherwise(none) for k in RELATION_KEYS)))
+
+    every = rows.select(key, F.explode(let(F.translate(F.col(text), *_FOLD), found)).alias("m")).select(key, "m.*")
     past = Window.partitionBy(key, "relation").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.sum(F.col("gap") + F.col("size")).over(past)
     placed = every.withColumn("stop", stop).select(key, "relation", (F.col("stop") - F.col("size")).alias("start"), "stop")
@@ -196,13 +202,18 @@ def repeated_runs(clean: Column) -> Column:
     """Whether a run of RUN tokens stands RUN_REPEATS times.  Runs are sorted by hash and compared by their tokens where hashes agree."""
 
     def check(tokens: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (RUN - 1)), lambda i: F.struct(F.xxhash64(F.slice(tokens, i, RUN)).alias("h"), i.alias("at")))
-
         def same(s: Column, i: Column) -> Column:
             a, b = F.get(s, i), F.get(s, i + (RUN_REPEATS - 1))
             return (a["h"] == b["h"]) & (F.slice(tokens, a["at"], RUN) == F.slice(tokens, b["at"], RUN))
 
-        return F.when(F.size(tokens) < RUN_WORDS, F.lit(False)).otherwise(_thrice(F.array_sort(runs), RUN_REPEATS, same))
+        def some(hashes: Column) -> Column:
+            runs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at")))
+            # A run that stands RUN_REPEATS times leaves as many fewer distinct ones, less itself; most texts need no sort.
+            few = F.size(F.array_distinct(hashes)) > F.size(hashes) - (RUN_REPEATS - 1)
+            return F.when(few, F.lit(False)).otherwise(_thrice(F.array_sort(runs), RUN_REPEATS, same))
+
+        hashes = let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (RUN - 1)), lambda i: F.xxhash64(F.slice(w, i, RUN))))
+        return F.when(F.size(tokens) < RUN_WORDS, F.lit(False)).otherwise(let(hashes, some))
 
     return let(F.regexp_extract_all(clean, F.lit(rf"({TOKEN})"), 1), check)
 
