@@ -71,14 +71,15 @@ def unbalanced(df: DataFrame, key: list[str], parts: list[str], total: str) -> D
 
 def graph_faults(edge: DataFrame, node: DataFrame, n_nodes: tuple[int, int], n_edges: tuple[int, int]) -> DataFrame:
     """stmt, fault of graphs with too few or many nodes or edges, self-loops, edges without their ends, or a node twice."""
-    size = lambda rows, name, ends: rows.groupBy("stmt").agg(F.count("*").alias("n")).filter(~F.col("n").between(*ends)).select("stmt", F.lit(name).alias("fault"))
-    found = [size(node, "nodes", n_nodes), size(edge, "edges", n_edges), edge.filter("src = tgt").select("stmt", F.lit("self_loop").alias("fault"))]
-    found.append(dangling_edges(edge, node).select("stmt", F.lit("dangling_edge").alias("fault")))
-    found.append(duplicate_keys(node, ["stmt", "cid"]).select("stmt", F.lit("duplicate_node").alias("fault")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    nodes = node.groupBy("stmt").agg(F.count("*").alias("n"), F.collect_list("cid").alias("cids"), F.collect_list(F.struct("cid")).alias("every"))
+    ends = edge.groupBy("stmt").agg(F.count("*").alias("m"), F.coalesce(F.bool_or(F.col("src") == F.col("tgt")), F.lit(False)).alias("loop"), F.collect_list(F.struct("src", "tgt")).alias("ends"))
+    both = nodes.join(ends, "stmt", "full")
+    lost = lambda x: F.coalesce(~F.array_contains("cids", x), F.lit(True))
+    tests = [
+        ("nodes", ~F.col("n").between(*n_nodes)), ("edges", ~F.col("m").between(*n_edges)), ("self_loop", F.col("loop")),
+        ("dangling_edge", F.exists("ends", lambda e: lost(e["src"]) | lost(e["tgt"]))), ("duplicate_node", F.size(F.array_distinct("every")) < F.size("every")),
+    ]
+    return both.select("stmt", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests)))).alias("fault")).distinct()
 
 
 def changed_inputs(now: DataFrame, recorded: DataFrame) -> DataFrame:

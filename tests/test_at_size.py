@@ -59,3 +59,39 @@ def test_runs_that_repeat(spark):
         run = " ".join(f"w{i}" for i in range(12))
         text = " ".join(x for _ in range(n) for x in (run, *(f"x{r.randrange(10**9)}" for _ in range(20))))
         assert spark.createDataFrame([(text,)], "t string").select(spans.repeated_runs(F.col("t"))).first()[0] is want
+
+
+def test_matchings_in_rows_and_by_rounds(spark):
+    from graphloom.operators.matching import greatest_matching
+
+    r = random.Random(13)
+    edges = {(k, r.randrange(12), r.randrange(12)) for k in range(40) for _ in range(r.randrange(1, 40))}
+    df = spark.createDataFrame(sorted(edges), "set int, a int, b int")
+    sizes = []
+    for limit in (0, 20, 100):
+        rows = [tuple(x) for x in greatest_matching(df, limit).collect()]
+        assert set(rows) <= edges and len({x[:2] for x in rows}) == len({(k, b) for k, _, b in rows}) == len(rows)
+        sizes.append({k: sum(x[0] == k for x in rows) for k in range(40)})
+    assert sizes[0] == sizes[1] == sizes[2]
+
+
+def test_graphs_are_walked_without_rounds_of_joins(spark):
+    from graphloom.operators import graph
+
+    edges = spark.createDataFrame([(1, i, 0, i + 1) for i in range(300)] + [(2, 0, 0, 0), (3, 1, 0, 2)], "stmt long, src int, rel int, tgt int")
+    sources = spark.createDataFrame([(1, 0), (1, 300), (2, 0), (4, 7)], "stmt long, cid int")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    got = graph.frontier_distance(edges, sources)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+    want = {(1, i, min(i, 300 - i)) for i in range(301)} | {(2, 0, 0), (4, 7, 0)}
+    assert {tuple(x) for x in got.collect()} == want
+    assert {tuple(x) for x in graph.frontier_distance(edges, sources, 2).collect()} == {x for x in want if x[2] <= 2}
+
+
+def test_faults_of_graphs_without_nodes_or_edges(spark):
+    from graphloom.operators.validate import graph_faults
+
+    node = spark.createDataFrame([(1, 0), (1, 0), (2, 5)], "stmt long, cid int")
+    edge = spark.createDataFrame([(1, 0, 0, 0), (3, 1, 0, 2), (3, None, 0, 2)], "stmt long, src int, rel int, tgt int")
+    got = {tuple(x) for x in graph_faults(edge, node, (2, 9), (1, 1)).collect()}
+    assert got == {(1, "self_loop"), (1, "duplicate_node"), (2, "nodes"), (3, "edges"), (3, "dangling_edge")}
