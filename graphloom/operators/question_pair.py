@@ -2,51 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
 from .graph import adjacency
 from .similar import near_pairs
 
 
-def component_labels(edge: DataFrame) -> DataFrame:
-    """stmt, cid, comp: the smallest node that each node is connected with, spread until nothing changes."""
-    spark = edge.sparkSession
-    adj = checkpointed(spark, adjacency(edge))
-    now = checkpointed(spark, adj.groupBy("stmt", "cid").agg(F.least("cid", F.min("nbr")).alias("comp")))
-    while True:
-        near = adj.join(now.select("stmt", F.col("cid").alias("nbr"), "comp"), ["stmt", "nbr"]).groupBy("stmt", "cid").agg(F.min("comp").alias("low"))
-        # The label's own label is looked up too, which halves the rounds of long paths.
-        up = now.select("stmt", F.col("cid").alias("low"), F.col("comp").alias("top"))
-        new = now.join(near, ["stmt", "cid"]).withColumn("low", F.least("comp", "low")).join(up, ["stmt", "low"]).select("stmt", "cid", "comp", F.least("low", "top").alias("new"))
-        new = checkpointed(spark, new)
-        now = new.select("stmt", "cid", F.col("new").alias("comp"))
-        if new.filter("new <> comp").isEmpty():
-            return now
+def first_pair(line: list[int], ends: list[dict], likes: list[dict]) -> tuple[int, int] | None:
+    """The first two nodes in line, the one before the other, that are connected, not adjacent and not alike.
+
+    Behind a node its neighbours and likes are passed over and the next one of its component
+    is taken, so no more is looked at than edges and likes.
+    """
+    near: dict[int, set[int]] = defaultdict(set)
+    for e in ends:
+        near[e["src"]].add(e["tgt"])
+        near[e["tgt"]].add(e["src"])
+    bad = {n: set(x) for n, x in near.items()}
+    for e in likes:
+        bad[e["cid"]].add(e["nbr"])
+    mates: dict[int, list[int]] = {}
+    for n in line:
+        if n not in mates:
+            seen, todo = {n}, [n]
+            while todo:
+                new = near[todo.pop()] - seen
+                seen |= new
+                todo += new
+            own: list[int] = []
+            mates.update(dict.fromkeys(seen, own))
+        mates[n].append(n)
+    place = {n: i for own in mates.values() for i, n in enumerate(own)}
+    for a in line:
+        own = mates[a]
+        for i in range(place[a] + 1, len(own)):
+            if own[i] not in bad[a]:
+                return a, own[i]
+    return None
 
 
 def question_pair(edge: DataFrame, labels: DataFrame, order: Column) -> DataFrame:
     """stmt, cid_a, cid_b: of each statement the first pair, by (order of a, order of b), that is connected, not adjacent and not alike in name.
 
     labels: cid, label.  order: a column of (stmt, cid) by which nodes stand in line, a
-    before b.  Of n nodes behind a in its component, at most its neighbours and its likes
-    are not eligible; one more is all that has to be looked at, so pairs grow with the edges.
+    before b.  A statement's graph is one question's and is looked at in one row.
     """
-    spark = edge.sparkSession
-    line = Window.partitionBy("stmt", "comp").orderBy("h", "cid")
-    nodes = checkpointed(spark, component_labels(edge).withColumn("h", order).withColumn("no", F.row_number().over(line)))
-    adj = adjacency(edge).filter("cid <> nbr")
+    edge = edge.dropna(subset=["stmt", "src", "tgt"])
     named = labels.select("cid", "label")
     near = near_pairs(named, "label").select("a", "b").unionByName(named.select(F.col("label").alias("a"), F.col("label").alias("b")).distinct())
     alike = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    alike = alike.join(named.select(F.col("label").alias("a"), "cid"), "a").join(named.select(F.col("label").alias("b"), F.col("cid").alias("nbr")), "b").filter("cid <> nbr").select("cid", "nbr")
-    in_graph = nodes.select("stmt", "comp", "cid", "no")
-    other = in_graph.select("stmt", "comp", F.col("cid").alias("nbr"), F.col("no").alias("nbr_no"))
-    bad = adj.unionByName(in_graph.select("stmt", "cid").join(alike, "cid").select("stmt", "cid", "nbr")).distinct()
-    bad = checkpointed(spark, bad.join(in_graph, ["stmt", "cid"]).join(other, ["stmt", "comp", "nbr"]).filter("nbr_no > no").select("stmt", "comp", "cid", "nbr_no"))
-    count = bad.groupBy("stmt", "cid").agg(F.count("*").alias("bad"))
-    sought = nodes.join(count, ["stmt", "cid"], "left").select("stmt", "comp", "cid", "h", F.explode(F.expr("sequence(no + 1, no + 1 + coalesce(bad, 0))")).alias("nbr_no"))
-    free = sought.join(bad, ["stmt", "comp", "cid", "nbr_no"], "left_anti").join(other, ["stmt", "comp", "nbr_no"])
-    first = free.groupBy("stmt").agg(F.min(F.struct("h", "cid", "nbr_no", "nbr")).alias("p"))
-    return first.select("stmt", F.col("p.cid").alias("cid_a"), F.col("p.nbr").alias("cid_b"))
+    alike = alike.join(named.select(F.col("label").alias("a"), "cid"), "a").join(named.select(F.col("label").alias("b"), F.col("cid").alias("nbr")), "b").filter("cid <> nbr").groupBy("cid").agg(F.collect_set("nbr").alias("likes"))
+    ends = edge.groupBy("stmt").agg(F.collect_set(F.struct("src", "tgt")).alias("ends"))
+    nodes = adjacency(edge).select("stmt", "cid").distinct().join(alike, "cid", "left").withColumn("h", order)
+    lines = nodes.groupBy("stmt").agg(F.array_sort(F.collect_list(F.struct("h", "cid", "likes"))).alias("x"))
+    cids = F.transform("x", lambda n: n["cid"])
+    likes = F.flatten(F.transform(F.filter("x", lambda n: n["likes"].isNotNull()), lambda n: F.transform(F.array_intersect(n["likes"], cids), lambda m: F.struct(n["cid"].alias("cid"), m.alias("nbr")))))
+    rows = lines.join(ends, "stmt").select("stmt", cids.alias("line"), "ends", likes.alias("likes"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [first_pair(*x) for x in zip(b["line"].to_pylist(), b["ends"].to_pylist(), b["likes"].to_pylist(), strict=True)]
+            pair = [pa.array([f and f[i] for f in found], b["line"].type.value_type) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b["stmt"], *pair], names=["stmt", "cid_a", "cid_b"])
+
+    kinds = dict(nodes.dtypes)
+    return rows.mapInArrow(each, f"stmt {kinds['stmt']}, cid_a {kinds['cid']}, cid_b {kinds['cid']}").filter("cid_a is not null")
