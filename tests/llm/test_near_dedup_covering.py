@@ -34,7 +34,7 @@ def test_pairs_at_the_least_similarity_meet(classes):
             parts = cover.all if max(map(len, pairs[0])) <= shingle_dedup.TINY else cover.parts
             assert (cover.homes(a, parts) == cover.homes(b, parts)).any(1).all()
             assert np.bitwise_count(a ^ b).sum(1).max() <= shingle_dedup.RADIUS
-            assert np.bitwise_count((a ^ b)[:, :2]).sum(1).max() <= shingle_dedup.SKETCH_RADIUS
+            assert np.bitwise_count((a ^ b)[:, : shingle_dedup.SKETCH // 64]).sum(1).max() <= shingle_dedup.SKETCH_RADIUS
     far = prints([[r.getrandbits(64) for _ in range(50)] for _ in range(100)])
     assert min(np.bitwise_count(far[i] ^ far[j]).sum() for i in range(100) for j in range(i)) > shingle_dedup.RADIUS
 
