@@ -72,3 +72,47 @@ def test_no_pair_goes_beside_the_prints(spark, make_docs, monkeypatch):
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(want) and len(want) < 10
     monkeypatch.setattr(shingle_dedup, "RADIUS", -1)
     assert corpus_pipeline.near_dedup(spark, docs, "").count() == len({t for _, t in rows})  # equal sets are one class
+
+
+def test_rows_of_a_group_nearly_alike_grow_with_it(spark, make_docs, monkeypatch):
+    """Pairs below 0.8 but within the radius stay inside their anchor; only rows and forests are written."""
+    r, base = random.Random(8), [f"g{i}" for i in range(120)]
+    texts = [" ".join(edited(r, base, 2)) for _ in range(320)]
+    most, was = [], shingle_dedup.written
+
+    def counted(spark, df):
+        out = was(spark, df)
+        most[-1] = max(most[-1], out.count())
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "written", counted)
+    for m in (80, 320):
+        most.append(0)
+        rows = list(enumerate(texts[:m]))
+        got = corpus_pipeline.near_dedup(spark, make_docs([(d, t, "en", "s") for d, t in rows]), "").collect()
+        want = brute_keep(rows)
+        assert sorted(x.doc_id for x in got) == sorted(want) and 1 < len(want) < m
+    assert most[1] <= 6 * most[0] and most[1] <= shingle_dedup.Covering(m).parts * m
+
+
+def test_links_are_a_forest_of_the_labels(spark):
+    r = random.Random(10)
+    pool = [r.getrandbits(64) for _ in range(100)]
+    sets = [sorted({*(x for x in pool if r.random() < 0.95), r.getrandbits(64)}) for _ in range(120)]
+    label = [i if i >= 12 else i % 3 for i in range(120)]
+    classes = spark.createDataFrame([(i, label[i], len(x), p.view(np.int64).tolist()) for i, (x, p) in enumerate(zip(sets, prints(sets), strict=True))], "cls long, label long, n long, print array<long>")
+    grams = spark.createDataFrame([(i, np.array(x, np.uint64).view(np.int64).tolist()) for i, x in enumerate(sets)], "cls long, grams array<long>")
+    at = [(k, i) for k in (3, 4) for i in range(k - 3, 120)]
+    asks = spark.createDataFrame(at, "anchor long, cls long")
+    sets = [set(x) for x in sets]
+    pairs = {(a, b) for a in range(120) for b in range(a) if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    got = [(max(x), min(x)) for x in shingle_dedup.linked(asks, classes, grams).collect()]
+
+    def groups(links):
+        name = list(range(120))
+        for a, b in [*((i, j) for i in range(120) for j in range(i) if label[i] == label[j]), *links]:
+            name = [name[b] if x == name[a] else x for x in name]
+        return [name.index(x) for x in name]
+
+    assert set(got) <= pairs and groups(got) == groups(pairs) and len(set(groups(got))) < 60
+    assert len(got) < 2 * len(set(label)) < len(pairs)
